@@ -52,7 +52,7 @@ def csv_files(t):
         files[s, n, f].append((i, line))
     out = {}
     for key, lines in files.items():
-        rows = [next(csv.reader([x])) for _, line in sorted(lines, key=lambda x: x[0]) if line and (x := line.removeprefix("﻿").rstrip("\r\n")).strip()]
+        rows = [next(csv.reader([x])) for _, line in sorted(lines, key=lambda x: x[0]) if line and (x := line.removeprefix("\ufeff").rstrip("\r\n")).strip()]
         head = rows[0]
         rows = [dict(zip(head, r, strict=False)) for r in rows[1:] if r != head]
         named = {}
@@ -98,7 +98,7 @@ def lines(spark, rows):
 
 def test_edges(spark):
     f = [("s", "f1", 1), ("s", "f2", 2), (None, "f3", 1), ("e", "f4", 1)]
-    rows = [(*f[0], 1, "﻿config,file,a,b,b"), (*f[0], 2, 'c,f,"x, y",1,2\r'), (*f[0], 3, ""), (*f[0], 4, None), (*f[0], 5, 'c,f,"x, y",1,2'), (*f[0], 6, "config,file,a,b,b"), (*f[0], 7, ",f,z")]
+    rows = [(*f[0], 1, "\ufeffconfig,file,a,b,b"), (*f[0], 2, 'c,f,"x, y",1,2\r'), (*f[0], 3, ""), (*f[0], 4, None), (*f[0], 5, 'c,f,"x, y",1,2'), (*f[0], 6, "config,file,a,b,b"), (*f[0], 7, ",f,z")]
     rows += [(*f[1], 1, "file,config,new,b"), (*f[1], 2, 'f,c,"x, y",t'), (*f[2], 1, "config,file,q"), (*f[3], None, "x"), ("e", "f5", None, 1, "x")]
     cells, fields = D.csv_cells(lines(spark, rows))
     ch = D.changes(cells, fields)
