@@ -5,9 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..functions.tables import table
-from . import patterns, runs
+from . import mixing, patterns, runs, spans, tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -58,3 +59,48 @@ def p4_found(spark, d):
 @query("p4_collapsed", _RUNS + "SELECT gid, src, dst, etype, first_eidx, last_eidx, n, first_ts, last_ts, duration FROM g")
 def p4_collapsed(spark, d):
     return runs.collapse_runs(table(spark, d, "edges"))
+
+
+# --- problem 6: encoding -------------------------------------------------------------------------------------------------
+
+
+@query("p6_ids")
+def p6_ids(spark, d):
+    return tokens.encode_documents(table(spark, d, "documents"))
+
+
+@query("p6_roundtrip", "SELECT doc_id, coalesce(text, '') AS decoded FROM documents")
+def p6_roundtrip(spark, d):
+    return tokens.encode_documents(table(spark, d, "documents")).select("doc_id", tokens.decode(F.col("ids")).alias("decoded"))
+
+
+# --- problem 7: mixing ---------------------------------------------------------------------------------------------------
+
+
+@query("p7_found")
+def p7_found(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].where("short").select("source")
+
+
+@query("p7_report")
+def p7_report(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@query("p7_chosen")
+def p7_chosen(spark, d):
+    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[0]
+
+
+# --- problem 8: shared spans ---------------------------------------------------------------------------------------------
+
+
+@query("p8_found")
+def p8_found(spark, d):
+    return spans.shared_spans(table(spark, d, "documents"))
+
+
+@query("p8_coverage")
+def p8_coverage(spark, d):
+    docs = table(spark, d, "documents")
+    return spans.coverage(docs, spans.shared_spans(docs))
