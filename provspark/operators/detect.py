@@ -1,0 +1,91 @@
+"""One-class detectors: an ensemble of group centroids, and Mahalanobis distance."""
+
+from __future__ import annotations
+
+from dataclasses import dataclass
+
+import numpy as np
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .features import dot, unit
+
+
+@dataclass(frozen=True)
+class Ensemble:
+    """One expert (grp, centroid, radius) per group of training rows; groups are few (a graph each)."""
+
+    experts: DataFrame
+
+    def add(self, rows: DataFrame, **kw) -> Ensemble:
+        """Further experts; those there are stay (groups of the same name are replaced)."""
+        new = fit(rows, **kw).experts
+        return Ensemble(self.experts.join(new.select("grp"), "grp", "left_anti").unionByName(new))
+
+
+def fit(rows: DataFrame, q: float = 0.05, least_radius: float = 0.5, group: str = "grp", vec: str = "vec") -> Ensemble:
+    """Centroid of the unit vectors of each group, scaled to length 1, and the radius: the larger of the q-quantile of the rows' cosine to it and ``least_radius``."""
+    x = rows.select(F.col(group).alias("grp"), unit(F.col(vec)).alias("u"))
+    c = x.groupBy("grp").agg(Summarizer.mean(array_to_vector("u")).alias("m")).select("grp", unit(vector_to_array("m")).alias("centroid"))
+    r = x.join(c, "grp").withColumn("s", dot(F.col("u"), F.col("centroid"))).groupBy("grp").agg(F.expr(f"percentile(s, {q})").alias("p"))
+    return Ensemble(c.join(r, "grp").select("grp", "centroid", F.greatest("p", F.lit(least_radius)).alias("radius")))
+
+
+def score(rows: DataFrame, model: Ensemble, vec: str = "vec", max_experts: int = 10_000) -> DataFrame:
+    """rows with ``score`` = 1 - the greatest cosine to a centroid, and ``benign``: some cosine reaches its expert's radius.
+
+    The experts come as one literal row of arrays, of a checked number.
+    """
+    n = model.experts.count()
+    if n > max_experts:
+        raise ValueError(f"{n} experts; at most {max_experts}")
+    experts = [(r.centroid, r.radius) for r in model.experts.orderBy("grp").collect()]
+    u = unit(F.col(vec))
+    if not experts:
+        return rows.withColumns({"score": F.lit(1.0), "benign": F.lit(False)})
+    x = rows.withColumn("_u", u)
+    cos = [dot(F.col("_u"), F.array(*[F.lit(float(v)) for v in c])) for c, _ in experts]
+    x = x.withColumn("_cos", F.array(*cos))
+    benign = F.exists(F.zip_with(F.col("_cos"), F.array(*[F.lit(float(r)) for _, r in experts]), lambda a, b: a >= b), lambda b: b)
+    return x.withColumns({"score": 1 - F.array_max("_cos"), "benign": benign}).drop("_u", "_cos")
+
+
+def operating_point(scores: DataFrame, q: float = 0.95) -> DataFrame:
+    """threshold: the q-quantile of pooled training scores."""
+    return scores.agg(F.expr(f"percentile(score, {q})").alias("threshold"))
+
+
+def mahalanobis(train: DataFrame, rows: DataFrame, vec: str = "vec", shrink: float = 1e-3) -> DataFrame:
+    """rows with ``distance``: squared Mahalanobis distance to the training rows' mean under their covariance, shrunk to its diagonal.
+
+    Means and the d x d moments are summed in tasks; only those (their size is that of the vectors) come to the driver.
+    """
+    x = train.select(F.col(vec).alias("v"))
+
+    def moments(batches):
+        n, s, g = 0, None, None
+        for b in batches:
+            a = np.array([v for v in b.column(0).to_pylist() if v is not None], float)
+            if len(a):
+                n, s, g = n + len(a), a.sum(0) if s is None else s + a.sum(0), a.T @ a if g is None else g + a.T @ a
+        if n:
+            import pyarrow as pa
+
+            yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "g"])
+
+    parts = x.mapInArrow(moments, "n bigint, s array<double>, g array<double>")
+    total = parts.select("n", F.posexplode(F.concat("s", "g")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
+    n = parts.agg(F.sum("n")).first()[0]
+    if not n:
+        return rows.withColumn("distance", F.lit(None).cast("double"))
+    flat = np.array([r.v for r in total])
+    d = int((np.sqrt(1 + 4 * len(flat)) - 1) / 2)
+    mean = flat[:d] / n
+    cov = flat[d:].reshape(d, d) / n - np.outer(mean, mean)
+    cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 1e-9 * np.eye(d)
+    half = np.linalg.cholesky(np.linalg.inv(cov)).T  # distance = |half (x - mean)|^2
+    centred = F.zip_with(F.col(vec), F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
+    lines = [dot(F.col("_c"), F.array(*[F.lit(float(v)) for v in row])) for row in half]
+    return rows.withColumn("_c", centred).withColumn("_y", F.array(*lines)).withColumn("distance", dot(F.col("_y"), F.col("_y"))).drop("_c", "_y")
