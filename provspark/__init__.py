@@ -1,3 +1,10 @@
 """provspark: a Spark-native analytics engine for provenance graphs and training-data pipelines."""
 
+import sys
+
+from pyspark import cloudpickle
+
 __version__ = "0.1.0"
+
+# functions sent to Python workers travel by value, so that executors need no copy of this package
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
