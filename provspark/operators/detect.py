@@ -38,10 +38,9 @@ def score(rows: DataFrame, model: Ensemble, vec: str = "vec", max_experts: int =
 
     The experts come as one literal row of arrays, of a checked number.
     """
-    n = model.experts.count()
-    if n > max_experts:
-        raise ValueError(f"{n} experts; at most {max_experts}")
-    experts = [(r.centroid, r.radius) for r in model.experts.orderBy("grp").collect()]
+    experts = [(r.centroid, r.radius) for r in model.experts.orderBy("grp").limit(max_experts + 1).collect()]
+    if len(experts) > max_experts:
+        raise ValueError(f"more than {max_experts} experts")
     u = unit(F.col(vec))
     if not experts:
         return rows.withColumns({"score": F.lit(1.0), "benign": F.lit(False)})

@@ -10,7 +10,7 @@ from ..functions.tables import table
 from ..operators import alerts, detect, features, graph, match, metrics, mine, reduce, stats
 from ..operators.match import Template
 from ..sources import cdm, files, views
-from ..sources.views import prov
+from ..sources.views import kept, prov
 from .registry import query
 
 _ET = "CASE WHEN coalesce(trim(etype), '') = '' OR lower(trim(etype)) = 'event_' THEN 'event' ELSE regexp_replace(lower(trim(etype)), '^event_', '') END"
@@ -208,7 +208,7 @@ _CHECKS = "SELECT c.r AS reduction, k.k AS \"check\", 0::BIGINT violations FROM
 
 
 def _reductions(spark, d):
-    g = prov(spark, d)
+    g = kept(prov(spark, d))
     r = match.find_regions(g, list(STAR))
     return g, {"identity": reduce.identity(g), "edge_dedup": reduce.edge_dedup(g), "node_merge": reduce.node_merge(g), "collapse": reduce.collapse(g, r)}
 
@@ -547,7 +547,7 @@ def _(spark, d):
 
 
 def _node_scores(spark, d) -> tuple[views.Graph, DataFrame]:
-    g = prov(spark, d)
+    g = kept(prov(spark, d))
     s = g.nodes.join(graph.degrees(g), ["gid", "nid"]).select("gid", "nid", "npos", F.col("label").alias("y"), F.log1p(F.col("mu_in") + F.col("mu_out")).alias("score"))
     return g, s
 

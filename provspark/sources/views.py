@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.normal import etype_form, node_key, type_form
-from ..functions.tables import table
+from ..functions.tables import cut, table
 from ..operators.order import numbered
 
 #: Places of nodes without a row of their own, behind all that have one.
@@ -53,6 +53,11 @@ def prov(spark: SparkSession, d: str) -> Graph:
     return canonical(table(spark, d, "edges"), table(spark, d, "nodes"), table(spark, d, "gt_nodes"))
 
 
+def kept(g: Graph) -> Graph:
+    """The graph written once, for operators that read it many times."""
+    return Graph(cut(g.nodes, "nodes"), cut(g.edges, "edges"))
+
+
 def g_events(spark: SparkSession, d: str) -> Graph:
     """One graph a day: user -> key events; users are processes, keys files, sockets, dirs and pipes by number."""
     t = table(spark, d, "events")
