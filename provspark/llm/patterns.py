@@ -37,8 +37,9 @@ from .sequences import events, ordered
 
 #: Words from this length on are shortened within a partition; shorter ones are left, with the same result.
 LONG = 64
-#: Distinct words of a task's diagram, about.
-WORDS_PER_TASK = 25_000
+#: Distinct words of a task's diagram, about, and fewer where its table of next nodes would be larger than DIAGRAM_BYTES, down to LEAST_WORDS.
+WORDS_PER_TASK, LEAST_WORDS = 25_000, 2_000
+DIAGRAM_BYTES = 200_000_000
 #: Bytes of conditional diagrams that a task keeps.
 MEMO_BYTES = 200_000_000
 #: Candidates counted in a pass of the second phase; more are counted in further passes.
@@ -262,12 +263,12 @@ def mine(w: DataFrame, share: float, least: int, min_len: int, max_len: int) ->
 
     coded = w.select("word").mapInArrow(encode, "w array<int>").where(F.size("w") > 0).groupBy("w").agg(F.count(F.lit(1)).alias("n"))
     coded = cut(coded, "coded")
-    distinct, weight = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    parts = max(1, ceil(distinct / WORDS_PER_TASK))
+    distinct, weight, letters = coded.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.size("w")), F.lit(0))).first()
+    k = len(common)
+    parts = max(1, ceil(distinct / WORDS_PER_TASK), min(ceil(4 * k * letters / DIAGRAM_BYTES), distinct // LEAST_WORDS))
     # about as many words in each task, the same ones in both phases: a task of few words would find many locally frequent patterns
     spread = coded.repartition(parts, F.xxhash64("w"))
     local = Fraction(need, max(weight, 1))
-    k = len(common)
 
     def load(batches: Iterator[pa.RecordBatch]) -> tuple[Diagram, int]:
         ws, ns = [], []
