@@ -5,6 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
@@ -13,6 +14,10 @@ from pyspark.sql import functions as F
 from .features import dot, unit
 
 
+#: Cosines computed at once in a task.
+CELLS = 4_000_000
+
+
 @dataclass(frozen=True)
 class Ensemble:
     """One expert (grp, centroid, radius) per group of training rows; groups are few (a graph each)."""
@@ -36,19 +41,29 @@ def fit(rows: DataFrame, q: float = 0.05, least_radius: float = 0.5, group: str
 def score(rows: DataFrame, model: Ensemble, vec: str = "vec", max_experts: int = 10_000) -> DataFrame:
     """rows with ``score`` = 1 - the greatest cosine to a centroid, and ``benign``: some cosine reaches its expert's radius.
 
-    The experts come as one literal row of arrays, of a checked number.
+    The experts, of a checked number, go along with the function; a batch of rows is one matrix product.  Null vectors have a null
+    score and are not benign.
     """
     experts = [(r.centroid, r.radius) for r in model.experts.orderBy("grp").limit(max_experts + 1).collect()]
     if len(experts) > max_experts:
         raise ValueError(f"more than {max_experts} experts")
-    u = unit(F.col(vec))
     if not experts:
         return rows.withColumns({"score": F.lit(1.0), "benign": F.lit(False)})
-    x = rows.withColumn("_u", u)
-    cos = [dot(F.col("_u"), F.array(*[F.lit(float(v)) for v in c])) for c, _ in experts]
-    x = x.withColumn("_cos", F.array(*cos))
-    benign = F.exists(F.zip_with(F.col("_cos"), F.array(*[F.lit(float(r)) for _, r in experts]), lambda a, b: a >= b), lambda b: b)
-    return x.withColumns({"score": 1 - F.array_max("_cos"), "benign": benign}).drop("_u", "_cos")
+    centroids, radii = np.array([c for c, _ in experts]), np.array([r for _, r in experts])
+
+    @F.pandas_udf("score double, benign boolean")
+    def rate(vecs: pd.Series) -> pd.DataFrame:
+        best, inside = np.full(len(vecs), np.nan), np.zeros(len(vecs), bool)
+        there = np.flatnonzero(vecs.notna().to_numpy())
+        for at in np.array_split(there, max(1, len(there) * len(radii) // CELLS)):
+            if len(at):
+                x = np.stack(vecs.iloc[at].to_numpy())
+                cos = x @ centroids.T / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+                best[at], inside[at] = 1 - cos.max(1), (cos >= radii).any(1)
+        return pd.DataFrame({"score": best, "benign": inside})
+
+    x = rows.withColumn("_r", rate(F.col(vec)))
+    return x.select(*rows.columns, F.when(~F.isnan("_r.score"), F.col("_r.score")).alias("score"), F.col("_r.benign").alias("benign"))
 
 
 def operating_point(scores: DataFrame, q: float = 0.95) -> DataFrame:

@@ -22,6 +22,10 @@ from .graph import shared_objects
 from .order import numbered, smallest
 
 
+#: Items that the driver decides at once.
+SMALL = 100_000
+
+
 @dataclass(frozen=True)
 class Template:
     """A small typed pattern: nodes id -> type, directed edges, the anchor's id (or None)."""
@@ -102,11 +106,19 @@ def first_embeddings(g: Graph, templates: list[Template]) -> DataFrame:
 
 
 def greedy_disjoint(cands: DataFrame, group: list[str], key: str = "o", uses: str = "uses", takes: str = "takes") -> DataFrame:
-    """Rows chosen by taking rows in order of ``key`` (unique in its group), skipping any that use an item an earlier chosen one takes."""
+    """Rows chosen by taking rows in order of ``key`` (unique in its group), skipping any that use an item an earlier chosen one takes.
+
+    Rounds decide all rows that no undecided earlier one bears on; once no more than SMALL items are undecided, they are decided
+    in order on the driver.
+    """
     items = cands.select(*group, key, F.explode(uses).alias("item"), takes).select(*group, key, "item", F.array_contains(takes, F.col("item")).alias("takes"))
     live = cut(items, "items")
     chosen = None
-    while not live.isEmpty():
+    while left := live.count():
+        if left <= SMALL:
+            now = _in_order(live, group, key)
+            chosen = now if chosen is None else chosen.unionByName(now)
+            break
         first = live.where("takes").groupBy(*group, "item").agg(F.min(key).alias("first"))
         state = live.join(first, [*group, "item"], "left").groupBy(*group, key).agg(F.min(F.coalesce("first", key)).alias("least"))
         now = cut(state.where(F.col("least") >= F.col(key)).select(*group, key), "chosen")
@@ -114,7 +126,21 @@ def greedy_disjoint(cands: DataFrame, group: list[str], key: str = "o", uses: st
         gone = live.where("takes").join(now, [*group, key], "left_semi").select(*group, "item").distinct()
         hit = live.join(gone, [*group, "item"], "left_semi").select(*group, key).distinct()
         live = cut(live.join(hit.unionByName(now).distinct(), [*group, key], "left_anti"), "items")
-    return cands.limit(0) if chosen is None else cands.join(chosen, [*group, key], "left_semi")
+    return cands.limit(0) if chosen is None else cands.join(F.broadcast(chosen) if left <= SMALL and chosen is now else chosen, [*group, key], "left_semi")
+
+
+def _in_order(live: DataFrame, group: list[str], key: str) -> DataFrame:
+    """The same choice over at most SMALL items, one after the other."""
+    cands: dict[tuple, list[tuple]] = {}
+    for r in live.collect():
+        cands.setdefault((tuple(r[c] for c in group), r[key]), []).append((r["item"], r["takes"]))
+    taken: set[tuple] = set()
+    out = []
+    for g, k in sorted(cands, key=lambda x: x[1]):
+        if not any((g, i) in taken for i, _ in cands[g, k]):
+            taken |= {(g, i) for i, t in cands[g, k] if t}
+            out.append((*g, k))
+    return live.sparkSession.createDataFrame(out, live.select(*group, key).schema)
 
 
 def find_regions(g: Graph, templates: list[Template], share_k: int = 2, min_absorb: int = 2, max_instances: int = 100, max_total: int = 1000) -> DataFrame:
