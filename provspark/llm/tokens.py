@@ -31,7 +31,8 @@ _WS = r"\t-\r \x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+"
 #: Between the pieces of a literal; no token has it.
 _SEP = "\ue000"
-_NONE = 2**31 - 1
+#: No rank; what a rank is multiplied by to stand with an id in one number; the id of the ends (all others are less).
+_NONE, _ID, _END = 2**31 - 1, 2**17, 2**16 - 1
 
 
 def _slots(keys: list[int], size: int, buckets: int) -> tuple[list[int], list[int]]:
@@ -131,11 +132,11 @@ def encode_word(word: Column, path: str = RANKS) -> Column:
     size, buckets = t["size"], t["buckets"]
     disp, packed = _numbers(t["disp"], "bigint"), _numbers(t["packed"], "bigint")
 
-    def rank(key: Column) -> Column:  # of a pair of ids, as left * 65536 + right
-        return _bind(F.get(packed, _slot(key, disp, size, buckets).cast("int")), lambda x: F.when(F.shiftright(x, 16) == key, x.bitwiseAND(65535).cast("int")).otherwise(F.lit(_NONE)))
+    def entry(key: Column) -> Column:  # of a piece and the one behind it, as left * 65536 + right: rank of the pair and the piece's id
+        def found(x: Column) -> Column:
+            return F.when(F.shiftright(x, 16) == key, x.bitwiseAND(65535)).otherwise(F.lit(_NONE)) * _ID + F.shiftright(key, 16)
 
-    def ranks(keys: Column) -> Column:
-        return F.transform(keys, rank)
+        return _bind(F.get(packed, _slot(key, disp, size, buckets).cast("int")), found)
 
     def pair(a: Column, b: Column) -> Column:
         return a.cast("bigint") * 65536 + b
@@ -146,29 +147,22 @@ def encode_word(word: Column, path: str = RANKS) -> Column:
 
     def fold(ids: Column) -> Column:
         n = F.size(ids)
-        first = F.struct(ids.alias("ids"), ranks(F.zip_with(F.slice(ids, 1, n - 1), F.slice(ids, 2, n - 1), pair)).alias("ranks"))
+        end = F.array(F.lit(_NONE * _ID + _END))  # on either side, so that every pair has two neighbours; no pair with it has a rank
+        first = F.concat(end, F.transform(F.zip_with(ids, F.concat(F.slice(ids, 2, n - 1), F.array(F.lit(_END))), pair), entry), end)
 
         def step(acc: Column, _: Column) -> Column:
-            ids, rs = acc["ids"], acc["ranks"]
+            def merge(least: Column) -> Column:
+                m = F.shiftright(least, 17)
 
-            def merge(m: Column) -> Column:
                 def at(p: Column) -> Column:  # p: the pair's place, from 1
-                    k = F.size(ids)
-                    left, right = p > 1, p + 1 < k
-                    near = F.concat(
-                        F.when(left, F.array(pair(F.get(ids, p - 2), m))).otherwise(F.array().cast("array<bigint>")),
-                        F.when(right, F.array(pair(m, F.get(ids, p + 1)))).otherwise(F.array().cast("array<bigint>")),
-                    )
-                    return F.struct(
-                        F.concat(F.slice(ids, F.lit(1), p - 1), F.array(m), F.slice(ids, p + 2, k)).alias("ids"),
-                        F.concat(F.slice(rs, F.lit(1), F.greatest(p - 2, F.lit(0))), ranks(near), F.slice(rs, p + 2, k)).alias("ranks"),
-                    )
-
-                return F.when(m == _NONE, acc).otherwise(_bind(F.array_position(rs, m).cast("int"), at))
-
-            return F.when(F.size(rs) == 0, acc).otherwise(_bind(F.array_min(rs), merge))
-
-        merged = F.aggregate(F.sequence(F.lit(2), n), first, step, lambda acc: acc["ids"])
+                    near = F.transform(F.array(pair(F.get(acc, p - 2).bitwiseAND(_ID - 1), m), pair(m, F.get(acc, p + 1).bitwiseAND(_ID - 1))), entry)
+                    return F.concat(F.slice(acc, F.lit(1), p - 2), near, F.slice(acc, p + 2, n))
+
+                return F.when(m == _NONE, acc).otherwise(_bind(F.array_position(acc, least).cast("int"), at))
+
+            return _bind(F.array_min(acc), merge)
+
+        merged = F.aggregate(F.sequence(F.lit(2), n), first, step, lambda acc: F.transform(F.slice(acc, F.lit(2), F.size(acc) - 2), lambda x: x.bitwiseAND(_ID - 1).cast("int")))
         return F.when(n < 2, ids).otherwise(merged)
 
     def known(h: Column) -> Column:
