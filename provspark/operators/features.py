@@ -133,3 +133,23 @@ def mean_neighbours(g: Graph, feats: DataFrame) -> DataFrame:
     return m.groupBy("gid", "nid").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s.v).alias("vec"))
 
 
+
+
+def document_vectors(docs: DataFrame, vectors: DataFrame, dim: int, positional_below: int = 100_000, base: float = 10_000.0) -> DataFrame:
+    """key, vec: mean of the vectors of a document's known words, each with the sinusoidal position of its place among them added.
+
+    ``docs``: key, words (array); ``vectors``: word, vec (array of dim).  Unknown words are left out, documents of
+    ``positional_below`` words or more get no positions, documents without a known word a zero vector.
+    """
+    words = docs.select("key", F.size("words").alias("n"), F.posexplode("words").alias("pos", "word"))
+    m = mean_of_words(words, vectors, dim, positional_below, base)
+    return docs.select("key").join(m, "key", "left").select("key", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
+
+
+def mean_of_words(words: DataFrame, vectors: DataFrame, dim: int, positional_below: int = 100_000, base: float = 10_000.0) -> DataFrame:
+    """The same of documents that are one row a word (key, n: words of the document, pos, word), so that none is ever gathered; documents without a known word are left out."""
+    known = numbered(words.join(vectors.select("word", "vec"), "word"), ["pos"], ["key"])
+    x = known.select("key", "n", (F.col("rn") - 1).alias("p"), F.posexplode("vec").alias("i", "v"))
+    angle = F.col("p") * F.pow(F.lit(base), -(F.col("i") - F.col("i") % 2) / F.lit(float(dim)))
+    place = F.when(F.col("n") >= positional_below, 0.0).when(F.col("i") % 2 == 0, F.sin(angle)).otherwise(F.cos(angle))
+    return x.groupBy("key", "i").agg(F.avg(F.col("v") + place).alias("v")).groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda s: s.v).alias("vec"))

@@ -172,3 +172,12 @@ def benign_split(graphs: DataFrame, train_frac: float = 0.7, seed: int = 0) -> D
     w = W.partitionBy("attack").orderBy(F.xxhash64(F.lit(seed), "gid"), "gid")
     n = F.count(F.lit(1)).over(W.partitionBy("attack"))
     return graphs.select("gid", "attack").withColumn("part", F.when(F.col("attack"), "test").when(F.row_number().over(w) <= F.floor(n * F.lit(train_frac)), "train").otherwise("test"))
+
+
+def process_profile(g: Graph, k: int = 2) -> DataFrame:
+    """gid, proc, n_edges, n_objects, n_private: of each process its edges, the different nodes beside it, and those that fewer than k processes touch."""
+    r = process_refs(g)
+    pairs = r.groupBy("gid", "nid", "proc").agg(F.count(F.lit(1)).alias("e"))
+    users = pairs.groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("users"))
+    x = pairs.join(users, ["gid", "nid"])
+    return x.groupBy("gid", "proc").agg(F.sum("e").alias("n_edges"), F.count(F.lit(1)).alias("n_objects"), F.sum((F.col("users") < k).cast("bigint")).alias("n_private"))

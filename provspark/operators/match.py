@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..functions.tables import cut
 from ..sources.views import Graph
-from .graph import shared_objects
+from .graph import context_nodes, shared_objects
 from .order import numbered, smallest
 
 
@@ -143,17 +143,23 @@ def _in_order(live: DataFrame, group: list[str], key: str) -> DataFrame:
     return live.sparkSession.createDataFrame(out, live.select(*group, key).schema)
 
 
-def find_regions(g: Graph, templates: list[Template], share_k: int = 2, min_absorb: int = 2, max_instances: int = 100, max_total: int = 1000) -> DataFrame:
+def find_regions(g: Graph, templates: list[Template], share_k: int = 2, min_absorb: int = 2, max_instances: int = 100, max_total: int = 1000, shared_by: str = "processes") -> DataFrame:
     """gid, ridx, tpl_id, anchor_type, seed, nodes, absorb: greedy non-overlapping regions.
 
     A region absorbs its nodes that are not shared by ``share_k`` processes (share_k < 0: all); regions that would absorb fewer
-    than ``min_absorb`` are none.  At most ``max_instances`` regions of a template and ``max_total`` in a graph.
+    than ``min_absorb`` are none.  With shared_by='edges' a node is shared by ``share_k`` edges to processes, and processes
+    themselves are never shared.  At most ``max_instances`` regions of a template and ``max_total`` in a graph.
     """
     if not templates:
         raise ValueError("no templates")
+    if shared_by not in ("processes", "edges"):
+        raise ValueError(f"shared_by: {shared_by}")
     emb = first_embeddings(g, templates)
     if share_k >= 0:
-        sh = shared_objects(g, share_k)
+        if shared_by == "edges":
+            sh = context_nodes(g, share_k).join(g.nodes.where(F.lower("ntype").contains("process")).select("gid", "nid"), ["gid", "nid"], "left_anti")
+        else:
+            sh = shared_objects(g, share_k)
         x = emb.select("gid", "tpos", "seed", F.explode("nodes").alias("nid")).join(sh, ["gid", "nid"], "left_anti").groupBy("gid", "tpos", "seed").agg(F.collect_list("nid").alias("absorb"))
         emb = emb.join(x, ["gid", "tpos", "seed"])
     else:
@@ -172,3 +178,37 @@ def find_regions(g: Graph, templates: list[Template], share_k: int = 2, min_abso
         c = cut(c.join(over, ["gid", "tpos"], "left").where("stop IS NULL OR o <= stop").drop("stop"), "candidates")
     r = numbered(r, ["o"], ["gid"]).where(F.col("rn") <= max_total)
     return cut(r.select("gid", (F.col("rn") - 1).cast("bigint").alias("ridx"), "tpl_id", "anchor_type", "seed", F.col("uses").alias("nodes"), F.array_sort("takes").alias("absorb")), "regions")
+
+
+def match_profile(g: Graph, templates: list[Template], regions: DataFrame) -> DataFrame:
+    """tpl_id, n_seeds, n_embeddings, n_regions: how many seeds each template has, how many of them embed it, and how many regions came of it."""
+    links = cut(typed_links(g), "links")
+    s = None
+    for t in templates:
+        one = seeds(g, links, t).agg(F.count(F.lit(1)).alias("n_seeds")).select(F.lit(t.tpl_id).alias("tpl_id"), "n_seeds")
+        s = one if s is None else s.unionByName(one)
+    e = first_embeddings(g, templates).groupBy("tpl_id").agg(F.count(F.lit(1)).alias("n_embeddings"))
+    r = regions.groupBy("tpl_id").agg(F.count(F.lit(1)).alias("n_regions"))
+    return s.join(e, "tpl_id", "left").join(r, "tpl_id", "left").fillna(0)
+
+
+def isomorphic(a: Template, b: Template) -> bool:
+    """Whether some renaming keeps types and links (self-loops and repeats aside); templates are small."""
+    ea, eb = set(a.simple()), set(b.simple())
+    if sorted(a.nodes.values()) != sorted(b.nodes.values()) or len(ea) != len(eb):
+        return False
+    degree = lambda e, n: (sum(x == n for x, _ in e), sum(y == n for _, y in e))
+    order = sorted(a.nodes, key=lambda n: degree(ea, n), reverse=True)
+
+    def grow(m: dict[str, str]) -> bool:
+        if len(m) == len(order):
+            return True
+        n = order[len(m)]
+        for c in b.nodes:
+            if c in m.values() or b.nodes[c] != a.nodes[n] or degree(eb, c) != degree(ea, n):
+                continue
+            if all(((n, x) in ea) == ((c, y) in eb) and ((x, n) in ea) == ((y, c) in eb) for x, y in m.items()) and grow({**m, n: c}):
+                return True
+        return False
+
+    return grow({})

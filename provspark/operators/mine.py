@@ -118,3 +118,17 @@ def coverage_subset(templates: DataFrame, coverage: float = 1.0) -> DataFrame:
     w = W.partitionBy().orderBy(F.desc("support"), "tpos")  # one row a template
     t = templates.withColumns({"_before": F.coalesce(F.sum("support").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0)), "_total": F.sum("support").over(W.partitionBy())})
     return t.where(F.col("_before") < coverage * F.col("_total")).drop("_before", "_total")
+
+
+def fold_ceiling(g: Graph, k: int = 2) -> DataFrame:
+    """gid, n_regions, n_absorbed: how many disjoint neighbourhoods of a process and the objects that at most k processes touch could fold at best, processes in node order."""
+    from .graph import process_refs
+    from .order import numbered
+
+    pairs = process_refs(g).distinct()
+    few = pairs.groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= k).select("gid", "nid")
+    own = pairs.join(few, ["gid", "nid"], "left_semi").select("gid", "proc", "nid").unionByName(pairs.select("gid", "proc", F.col("proc").alias("nid"))).distinct()
+    c = own.groupBy("gid", "proc").agg(F.collect_set("nid").alias("uses")).where(F.size("uses") >= 2)
+    c = c.join(g.nodes.select("gid", F.col("nid").alias("proc"), "npos"), ["gid", "proc"])
+    c = cut(numbered(c, ["npos", "proc"], ["gid"], name="o").withColumn("takes", F.col("uses")), "neighbourhoods")
+    return greedy_disjoint(c, ["gid"]).groupBy("gid").agg(F.count(F.lit(1)).alias("n_regions"), F.sum(F.size("takes")).alias("n_absorbed"))

@@ -142,6 +142,12 @@ def _(spark, d):
     return graph.context_nodes(prov(spark, d), 2)
 
 
+@query("process_profile", PROV + _PROC + """, q AS (SELECT gid, nid, proc, count(*) e FROM rf GROUP BY ALL), u AS (SELECT gid, nid, count(*) n FROM q GROUP BY ALL)
+ SELECT q.gid, proc, sum(e)::BIGINT n_edges, count(*) n_objects, sum((n < 2)::INTEGER)::BIGINT n_private FROM q JOIN u ON u.gid = q.gid AND u.nid = q.nid GROUP BY ALL""")
+def _(spark, d):
+    return graph.process_profile(prov(spark, d))
+
+
 @query("semantic_types", PROV + "SELECT ntype, count(*) n FROM pn WHERE regexp_matches(lower(ntype), 'process|subject|unit|proc|principal|task') GROUP BY 1")
 def _(spark, d):
     return graph.semantic_types(prov(spark, d))
@@ -330,6 +336,22 @@ def _(spark, d):
     return mine.coverage_subset(spark.createDataFrame(rows, "tpl_id string, tpos int, n_nodes int, n_edges int, support bigint"), 0.9)
 
 
+@query("match_profile")
+def _(spark, d):
+    g = kept(prov(spark, d))
+    return match.match_profile(g, list(STAR), match.find_regions(g, list(STAR)))
+
+
+@query("regions_shared_by_edges")
+def _(spark, d):
+    return match.find_regions(kept(prov(spark, d)), list(STAR), share_k=3, shared_by="edges").select("gid", "ridx", "tpl_id", "seed")
+
+
+@query("fold_ceiling")
+def _(spark, d):
+    return mine.fold_ceiling(kept(prov(spark, d)))
+
+
 @query("wl_colours", GEO + """, c0 AS (SELECT nid, ntype colour FROM gn), c1 AS (SELECT c.nid, md5(c.colour || '/' || array_to_string(list_concat(coalesce((SELECT list(x.colour ORDER BY x.colour) FROM ge JOIN c0 x ON x.nid = ge.dst WHERE ge.src = c.nid), []), coalesce((SELECT list(x.colour ORDER BY x.colour) FROM ge JOIN c0 x ON x.nid = ge.src WHERE ge.dst = c.nid), [])), ',')) colour FROM c0 c) SELECT nid, colour FROM c1""")
 def _(spark, d):
     g = views.g_geo(spark, d)
@@ -412,6 +434,15 @@ def _(spark, d):
     return features.mean_neighbours(g, f).select("gid", "nid", F.round(F.get("vec", F.lit(0)), 6).alias("m"))
 
 
+@query("document_vectors")
+def _(spark, d):
+    """Processes as documents: the types of their events in order."""
+    e = kept(prov(spark, d)).edges.select(F.concat_ws("/", "gid", "src").alias("key"), F.col("eidx").alias("pos"), F.col("etype").alias("word"))
+    words = e.join(e.groupBy("key").agg(F.count(F.lit(1)).alias("n")), "key")
+    vec = e.select("word").distinct().select("word", F.array(*[F.pmod(F.xxhash64(F.lit(i), "word"), F.lit(1000)) / 1000.0 for i in range(4)]).alias("vec"))
+    return features.mean_of_words(words, vec, 4).select("key", F.posexplode("vec").alias("i", "v")).select("key", "i", _r("v"))
+
+
 # --- detectors -----------------------------------------------------------------------------------------------------------
 
 _EMB = """WITH e AS (SELECT vec_id, label grp, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i FROM embeddings), n AS (SELECT vec_id, greatest(sqrt(sum(v * v)), 1e-12) n FROM e GROUP BY 1), u AS (SELECT e.vec_id, grp, i, v / n u FROM e JOIN n USING (vec_id)),

@@ -250,3 +250,22 @@ def test_shared_window_folds(spark):
     g = make(spark, [(n, "process" if n[0] in "Pc" else "file" if n == "L" else "socket", 0) for n in names], edges)
     t = [Template("child", {"0": "process", "1": "socket", "2": "socket", "3": "socket"}, (("0", "1"), ("0", "2"), ("0", "3")), "0")]
     assert match.find_regions(g, t, share_k=2).count() >= 8
+
+
+def test_isomorphic():
+    a = Template("a", {"0": "p", "1": "f", "2": "f"}, (("0", "1"), ("0", "2"), ("1", "2")))
+    b = Template("b", {"x": "f", "y": "p", "z": "f"}, (("y", "x"), ("y", "z"), ("z", "x"), ("z", "x")))
+    c = Template("c", {"x": "f", "y": "p", "z": "f"}, (("y", "x"), ("z", "y"), ("z", "x")))
+    assert match.isomorphic(a, b) and not match.isomorphic(a, c)
+
+
+def test_profile_and_ceiling(spark):
+    edges = [("p", "a", "w"), ("p", "b", "w"), ("q", "b", "w"), ("q", "c", "w"), ("r", "c", "w"), ("r", "d", "w"), ("q", "d", "w"), ("p", "d", "w")]
+    g = make(spark, [(n, "process" if n in "pqr" else "file", 0) for n in "pqrabcd"], edges)
+    prof = {r.proc: (r.n_edges, r.n_objects, r.n_private) for r in graph.process_profile(g).collect()}
+    assert prof == {"p": (3, 3, 1), "q": (3, 3, 0), "r": (2, 2, 0)}
+    r = mine.fold_ceiling(g).first()
+    assert (r.n_regions, r.n_absorbed) == (2, 5)
+    t = [Template("s", {"0": "process", "1": "file", "2": "file"}, (("0", "1"), ("0", "2")), "0")]
+    x = match.match_profile(g, t, match.find_regions(g, t, share_k=-1)).first()
+    assert (x.n_seeds, x.n_embeddings, x.n_regions) == (3, 3, 2)

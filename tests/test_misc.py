@@ -195,3 +195,14 @@ def test_streams(spark, sf, tmp_path):
     key = next(iter(got))
     want = sorted({(r.eidx, r.dst) for r in rows if (r.gid, r.src) == key} | {(r.eidx, r.src) for r in rows if (r.gid, r.dst) == key}, reverse=True)[:3]
     assert got[key] == [b for _, b in want]
+
+
+def test_document_vectors(spark):
+    docs = spark.createDataFrame([("a", ["x", "?", "y", "x"]), ("b", ["?"]), ("c", [])], "key string, words array<string>")
+    v = {"x": [1.0, 2.0, 3.0], "y": [0.0, -1.0, 5.0]}
+    got = {r.key: r.vec for r in features.document_vectors(docs, spark.createDataFrame(list(v.items()), "word string, vec array<double>"), 3).collect()}
+    div = np.exp(np.arange(0, 3, 2) * (-np.log(10000.0) / 3))
+    pe = np.zeros((3, 4))
+    pe[:, 0::2], pe[:, 1::2] = np.sin(np.arange(3)[:, None] * div), np.cos(np.arange(3)[:, None] * div)
+    assert np.allclose(got["a"], (np.array([v["x"], v["y"], v["x"]]) + pe[:, :3]).mean(0))
+    assert got["b"] == got["c"] == [0.0] * 3
