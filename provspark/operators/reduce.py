@@ -87,7 +87,7 @@ def node_merge(g: Graph, min_group: int = 2) -> Reduced:
 def collapse(g: Graph, regions: DataFrame, summary_etype: str = SUMMARY) -> Reduced:
     """Template collapse.  ``regions``: gid, ridx, tpl_id, anchor_type, absorb (array of nids), disjoint within a graph.
 
-    Absorbed nodes go; a region gets an entry teredM{r} if it has edges in or inside, an exit teredN{r} if it has edges out or
+    Absorbed nodes go; a region gets an entry regionM{r} if it has edges in or inside, an exit regionN{r} if it has edges out or
     inside; inner edges become one summary edge M -> N whose mu is their number; all other edges get mu 1, rewired or not.  A member
     with an edge to a node that no region absorbs maps to the exit, others to the entry.  M and N are labelled if a member is.
     A region without edges stays as it is.
@@ -98,7 +98,7 @@ def collapse(g: Graph, regions: DataFrame, summary_etype: str = SUMMARY) -> Redu
     e = cut(e.select("gid", "eidx", "src", "dst", "etype", "ts", "mu", "rs", "rt", F.coalesce(F.col("rs") == F.col("rt"), F.lit(False)).alias("inner")), "rewired")
     use = e.select("gid", F.explode(F.array(F.struct(F.col("rs").alias("r"), F.lit(True).alias("out")), F.struct(F.col("rt").alias("r"), F.lit(False).alias("out")))).alias("x"), "inner").where("x.r IS NOT NULL")
     role = use.groupBy("gid", F.col("x.r").alias("ridx")).agg(F.max(F.col("inner") | ~F.col("x.out")).alias("need_m"), F.max(F.col("inner") | F.col("x.out")).alias("need_n"))
-    name = lambda letter: F.concat(F.lit(f"tered{letter}"), F.col("ridx"))
+    name = lambda letter: F.concat(F.lit(f"region{letter}"), F.col("ridx"))
     lab = a.join(g.nodes.select("gid", "nid", "label"), ["gid", "nid"], "left").groupBy("gid", "ridx").agg(F.max(F.coalesce("label", F.lit(0))).alias("label"), F.min("anchor_type").alias("anchor_type"))
     role = cut(role.join(lab, ["gid", "ridx"]), "roles")
     far = e.where("rs IS NOT NULL AND rt IS NULL").select("gid", F.col("src").alias("nid")).distinct().withColumn("goes_out", F.lit(True))
@@ -110,9 +110,9 @@ def collapse(g: Graph, regions: DataFrame, summary_etype: str = SUMMARY) -> Redu
     kept = g.nodes.join(pi.where("nid <> new_nid"), ["gid", "nid"], "left_anti").select("gid", "nid", "npos", "ntype", "label")
     fresh = lambda letter, need, ntype, add: role.where(need).select("gid", name(letter).alias("nid"), (F.col("ridx") * 2 + F.lit(2**50 + add)).alias("npos"), ntype.alias("ntype"), "label")
     nodes = kept.unionByName(fresh("M", "need_m", F.col("anchor_type"), 0)).unionByName(fresh("N", "need_n", F.lit("summary_node"), 1))
-    outer = e.where("NOT inner").select("gid", "eidx", F.when(F.col("rs").isNull(), F.col("src")).otherwise(F.concat(F.lit("teredN"), "rs")).alias("src"), F.when(F.col("rt").isNull(), F.col("dst")).otherwise(F.concat(F.lit("teredM"), "rt")).alias("dst"), "etype", "ts", F.lit(1.0).alias("mu"), F.lit(None).cast("bigint").alias("region"))
+    outer = e.where("NOT inner").select("gid", "eidx", F.when(F.col("rs").isNull(), F.col("src")).otherwise(F.concat(F.lit("regionN"), "rs")).alias("src"), F.when(F.col("rt").isNull(), F.col("dst")).otherwise(F.concat(F.lit("regionM"), "rt")).alias("dst"), "etype", "ts", F.lit(1.0).alias("mu"), F.lit(None).cast("bigint").alias("region"))
     inner = e.where("inner").groupBy("gid", F.col("rs").alias("region")).agg(F.count(F.lit(1)).cast("double").alias("mu"))
-    inner = inner.select("gid", (F.col("region") + F.lit(2**50)).alias("eidx"), F.concat(F.lit("teredM"), "region").alias("src"), F.concat(F.lit("teredN"), "region").alias("dst"), F.lit(summary_etype).alias("etype"), F.lit(0).cast("bigint").alias("ts"), "mu", F.col("region").cast("bigint").alias("region"))
+    inner = inner.select("gid", (F.col("region") + F.lit(2**50)).alias("eidx"), F.concat(F.lit("regionM"), "region").alias("src"), F.concat(F.lit("regionN"), "region").alias("dst"), F.lit(summary_etype).alias("etype"), F.lit(0).cast("bigint").alias("ts"), "mu", F.col("region").cast("bigint").alias("region"))
     new = cut(_renumber(outer.unionByName(inner), "eidx"), "collapsed")
     rho = new.where("region IS NULL").select("gid", "new_eidx", "eidx")
     rho = rho.unionByName(e.where("inner").select("gid", "eidx", F.col("rs").cast("bigint").alias("region")).join(new.where("region IS NOT NULL").select("gid", "region", "new_eidx"), ["gid", "region"]).select("gid", "new_eidx", "eidx"))
@@ -155,7 +155,7 @@ def node_map_sanity(g: Graph, r: Reduced) -> DataFrame:
     new = r.graph.nodes.select("gid", F.col("nid").alias("new_nid"))
     image = r.node_map.select("gid", "new_nid").distinct()
     # the entry of a region all of whose members map to the exit (or the reverse) is reached by edges only
-    made = F.col("new_nid").rlike("^tered[MN][0-9]+$")
+    made = F.col("new_nid").rlike("^region[MN][0-9]+$")
     return n("total", total).unionByName(n("image_exists", image.join(new, ["gid", "new_nid"], "left_anti"))).unionByName(n("reachable", new.join(image, ["gid", "new_nid"], "left_anti").where(~made)))
 
 

@@ -276,8 +276,8 @@ _FIXED = """, ab AS (SELECT gid, nid, 0 r FROM (SELECT gid, nid, row_number() OV
  w AS (SELECT e.*, a.r rs, b.r rt FROM pe e LEFT JOIN ab a ON a.gid = e.gid AND a.nid = src LEFT JOIN ab b ON b.gid = e.gid AND b.nid = dst)"""
 
 
-@query("collapse_fixed_region", PROV + _FIXED + """ SELECT gid, CASE WHEN rs IS NULL THEN src ELSE 'teredN' || rs END src, CASE WHEN rt IS NULL THEN dst ELSE 'teredM' || rt END dst, etype, ts, 1.0::DOUBLE mu FROM w WHERE rs IS NULL OR rt IS NULL OR rs <> rt
- UNION ALL SELECT gid, 'teredM' || rs, 'teredN' || rs, '__summary__', 0, count(*)::DOUBLE FROM w WHERE rs = rt GROUP BY gid, rs""")
+@query("collapse_fixed_region", PROV + _FIXED + """ SELECT gid, CASE WHEN rs IS NULL THEN src ELSE 'regionN' || rs END src, CASE WHEN rt IS NULL THEN dst ELSE 'regionM' || rt END dst, etype, ts, 1.0::DOUBLE mu FROM w WHERE rs IS NULL OR rt IS NULL OR rs <> rt
+ UNION ALL SELECT gid, 'regionM' || rs, 'regionN' || rs, '__summary__', 0, count(*)::DOUBLE FROM w WHERE rs = rt GROUP BY gid, rs""")
 def _(spark, d):
     from ..operators.order import numbered
 
