@@ -7,7 +7,7 @@ stretch of all of its windows at once), then, where stretches differ, window by
 joined to maximal stretches.
 
 No pairs of records are formed.  Equal stretches of an anchor are one class, counted with map-side combining, so whole copies
-cost one row per task; where an anchor has several classes, one record of each is enough to compare their windows, again by a
+cost one row per task; where an anchor has several classes, two doc_ids of each are enough to compare their windows, again by a
 combined count.  A seed that stands in a third of all texts is therefore spread by the content around it.
 
 Identity of stretches and windows is that of 128-bit fingerprints (two independent 64-bit polynomial hashes of code points).
@@ -174,12 +174,12 @@ def shared_spans(docs: DataFrame, min_len: int = MIN_LEN, gram: int = GRAM) -> D
     classes = occ.groupBy(*cls).agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2"))
     classes = cut(classes, "classes")
     seeds = classes.groupBy("anchor").agg(F.min("d1").alias("a1"), F.max("d2").alias("a2"), F.count(F.lit(1)).alias("n_classes")).where("a1 <> a2")
-    marked = cut(classes.join(seeds.select("anchor", "n_classes"), "anchor").select(*cls, "d1", (F.col("d1") != F.col("d2")).alias("whole"), (F.col("n_classes") > 1).alias("open")), "seeds")
-    hits = cut(occ.join(marked, cls).select("doc_id", "lo", "hi", "whole", "open", (F.col("doc_id") == F.col("d1")).alias("first")), "hits")
+    marked = cut(classes.join(seeds.select("anchor", "n_classes"), "anchor").select(*cls, "d1", "d2", (F.col("d1") != F.col("d2")).alias("whole"), (F.col("n_classes") > 1).alias("open")), "seeds")
+    hits = cut(occ.join(marked, cls).select("doc_id", "lo", "hi", "whole", "open", F.col("doc_id").isin(F.col("d1"), F.col("d2")).alias("kept")), "hits")
     whole = hits.where("whole").select("doc_id", "lo", "hi")
-    # window by window: what differs, against one record of each class of the same seed; of a whole class any one record will do,
-    # as another record has the same stretch
-    todo = hits.where("open AND (first OR NOT whole)")
+    # window by window: what differs, against the records of each class of the same seed; of a whole class two doc_ids will do,
+    # as any text then meets another doc_id than its own, even where one of them holds the passage again in other surroundings
+    todo = hits.where("open AND (kept OR NOT whole)")
     ranges = todo.groupBy("doc_id").agg(F.collect_set(F.struct("lo", "hi")).alias("ranges"))  # as many as a text has anchors
     win = cut(_windows(docs, ranges, min_len), "windows")
     common = win.groupBy("w1", "w2").agg(F.min("doc_id").alias("d1"), F.max("doc_id").alias("d2")).where("d1 <> d2").select("w1", "w2")

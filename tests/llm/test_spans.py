@@ -43,6 +43,18 @@ def test_random(spark, seed, n, g):
     assert run(spark, rows, n, g) == want and len(want) > 10
 
 
+@pytest.mark.parametrize("size", [150, 300])
+@pytest.mark.parametrize("ids", [(1, 2), (2, 1)])
+def test_passage_again_in_the_same_text(spark, size, ids):
+    r = random.Random(size)
+    word = lambda n: "".join(r.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(n))
+    p, c1, c2, d1, d2 = word(size), word(300), word(300), word(150), word(150)
+    rows = [(ids[0], c1 + p + c2 + d1 + p + d2, 1, 1, "x"), (ids[1], c1 + p + c2, 1, 1, "x")]
+    want = brute(rows, 120)
+    assert any(d == ids[0] and a >= 600 + size for d, a, _ in want)
+    assert run(spark, rows, 120, 60) == want
+
+
 def test_tables(spark, sf):
     t = pq.read_table(f"{sf}/documents.parquet", columns=["doc_id", "text"]).to_pydict()
     rows = [(d, x, 1, 1, "x") for d, x in zip(t["doc_id"], t["text"], strict=True)]
