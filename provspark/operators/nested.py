@@ -12,6 +12,9 @@ Defined results
 * null ``rec_id``: no record, as rows could not name it;
 * several records of one (kind, uuid ignoring case): the one with the smallest ``rec_id``; records without uuid all stay;
 * null items keep their position and give no row; empty arrays give no row; a key repeated in an object counts each time;
+* scalars are fields of the body or item they stand in, those in plain objects inside it under their dotted path; null ones are left
+  out; of fields of one name the last in the text stays (a key that holds dots itself may be named like a path);
+* scalars in arrays are rows of their own (``value_table``), with the item or body above them as their parent; null ones are left out;
 * extra columns of the input are ignored, whatever their names.
 """
 
@@ -310,8 +313,8 @@ class Tokens:
         return out
 
 
-def _walk(t: Tokens, body: np.ndarray, rec: np.ndarray, with_fields: bool) -> dict[str, list]:
-    """Items (objects in arrays) below the bodies, level by level.  ``rec``: the record index of each body."""
+def _walk(t: Tokens, body: np.ndarray, rec: np.ndarray, values: dict[str, list] | None = None) -> dict[str, list]:
+    """Items (objects in arrays) below the bodies, level by level.  ``rec``: the record index of each body.  ``values`` gets the scalars in arrays."""
     out: dict[str, list] = {k: [] for k in ("rec", "parent", "child", "field", "pos", "token")}
     box = body
     path = pa.array(["$"] * len(box), pa.large_string())
@@ -320,6 +323,18 @@ def _walk(t: Tokens, body: np.ndarray, rec: np.ndarray, with_fields: bool) -> di
         up, child, place = t.members(box)
         real = t.link[child]
         kind = t.kind[real]
+        if values is not None:
+            v = np.flatnonzero(((kind == _STR) | (kind == _SCALAR)) & (t.kind[box[up]] == _ARR))
+            text = t.text(real[v])
+            there = pc.is_valid(text)
+            v = v[there.to_numpy(zero_copy_only=False)]
+            if len(v):
+                at = pa.array(up[v])
+                values["rec"].append(rec[up[v]])
+                values["parent"].append(parent.take(at))
+                values["child"].append(_cat(path.take(at), "[", pa.array(place[v]).cast(pa.large_string()), "]"))
+                values["pos"].append(place[v])
+                values["text"].append(text.filter(there))
         keep = np.flatnonzero((kind == _OBJ) | (kind == _ARR))
         up, child, place, real, kind = up[keep], child[keep], place[keep], real[keep], kind[keep]
         if not len(child):
@@ -361,25 +376,42 @@ def _empty_items(with_fields: bool) -> pa.DataType:
     return pa.struct(fields)
 
 
+_VALUES = pa.struct([("parent_path", pa.string()), ("child_path", pa.string()), ("pos", pa.int32()), ("value", pa.string())])
+
+
 def _maps(t: Tokens, objects: np.ndarray) -> pa.Array:
-    """Scalar members of each object as a map key -> text (wrappers removed), null values left out."""
-    up, child, _ = t.members(objects)
-    real = t.link[child]
-    scalar = np.flatnonzero((t.kind[real] == _STR) | (t.kind[real] == _SCALAR))
-    text = t.text(real[scalar])
+    """Scalars of each object and of the plain objects inside it as a map path -> text (wrappers removed), null values left out."""
+    ups, children, names = [], [], []
+    top, box, prefix = np.arange(len(objects)), objects, None
+    while len(box):
+        at, child, _ = t.members(box)
+        if not len(child):
+            break
+        kind, name = t.kind[t.link[child]], t.keys(child)
+        plain = (kind == _OBJ) & ~pc.is_in(name, pa.array(LONE, pa.large_string())).to_numpy(zero_copy_only=False)
+        if prefix is not None:
+            name = _cat(prefix.take(pa.array(at)), ".", name)
+        scalar = (kind == _STR) | (kind == _SCALAR)
+        ups.append(top[at][scalar])
+        children.append(child[scalar])
+        names.append(name.filter(pa.array(scalar)))
+        top, box, prefix = top[at][plain], t.link[child[plain]], name.filter(pa.array(plain))
+    up, child = (np.concatenate([np.zeros(0, np.int64), *x]) for x in (ups, children))
+    keys = pa.chunked_array(names, pa.large_string()).combine_chunks()
+    order = np.lexsort((child, up))  # as in the text
+    text = t.text(t.link[child[order]])
     there = np.flatnonzero(pc.is_valid(text).to_numpy(zero_copy_only=False))
-    up, child = up[scalar][there], child[scalar][there]
-    keys = t.keys(child) if len(child) else pa.array([], pa.large_string())
+    up, keys = up[order[there]], keys.take(pa.array(order[there]))
     # a map key may be there once: the last stays
-    code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(child) else np.zeros(0, np.int64)
+    code = keys.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64) if len(up) else np.zeros(0, np.int64)
     _, back = np.unique((up * (code.max() + 1 if len(code) else 1) + code)[::-1], return_index=True)
     last = np.sort(len(code) - 1 - back)
     off = np.searchsorted(up[last], np.arange(len(objects) + 1)).astype(np.int32)
     return pa.MapArray.from_arrays(pa.array(off, pa.int32()), keys.take(pa.array(last)).cast(pa.string()), text.take(pa.array(there[last])).cast(pa.string()))
 
 
-def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False) -> pa.RecordBatch:
-    """One row per valid record of the four kinds: rec_id, kind, uuid, fields, items (list)."""
+def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, with_values: bool = False) -> pa.RecordBatch:
+    """One row per valid record of the four kinds: rec_id, kind, uuid, fields, values (list), items (list)."""
     there = pc.and_(pc.is_valid(rec_id), pc.is_valid(raw))
     rec_id, raw = rec_id.filter(there), raw.filter(there)
     n = len(rec_id)
@@ -418,7 +450,7 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False) ->
         text = np.flatnonzero(t.kind[cur] == _STR)
         rows = rec[text]
         texts = t.text(cur[text]) if len(text) else None
-    ids, kinds, uuids, roots, items = [], [], [], [], []
+    ids, kinds, uuids, roots, lists, items = [], [], [], [], [], []
     for t, body, rec in parts:
         known = np.isin(kind[rec].astype(str), KINDS)
         body, rec = body[known], rec[known]
@@ -428,7 +460,8 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False) ->
         uuid = np.full(len(rec), None, object)
         has = u >= 0
         uuid[has] = t.text(t.link[u[has]]).to_pylist()
-        got = _walk(t, body, np.arange(len(rec)), with_fields)
+        values: dict[str, list] | None = {k: [] for k in ("rec", "parent", "child", "pos", "text")} if with_values else None
+        got = _walk(t, body, np.arange(len(rec)), values)
         if got["rec"]:
             owner = np.concatenate(got["rec"])
             order = np.argsort(owner, kind="stable")
@@ -445,23 +478,31 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False) ->
         uuids += uuid.tolist()
         if with_fields:
             roots.append(_maps(t, body))
-    schema = [("rec_id", pa.int64()), ("kind", pa.string()), ("uuid", pa.string())] + ([("fields", pa.map_(pa.string(), pa.string()))] if with_fields else []) + [("items", pa.list_(_empty_items(with_fields)))]
+        if with_values:
+            owner = np.concatenate([np.zeros(0, np.int64), *values["rec"]])
+            order = np.argsort(owner, kind="stable")
+            parent, child, text = (pa.chunked_array(values[k], pa.large_string()).combine_chunks().take(pa.array(order)).cast(pa.string()) for k in ("parent", "child", "text"))
+            pos = pa.array(np.concatenate([np.zeros(0, np.int64), *values["pos"]])[order], pa.int32())
+            off = pa.array(np.searchsorted(owner[order], np.arange(len(rec) + 1)).astype(np.int32), pa.int32())
+            lists.append(pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([parent, child, pos, text], fields=list(_VALUES))))
+    schema = [("rec_id", pa.int64()), ("kind", pa.string()), ("uuid", pa.string())] + ([("fields", pa.map_(pa.string(), pa.string()))] if with_fields else []) + ([("values", pa.list_(_VALUES))] if with_values else []) + [("items", pa.list_(_empty_items(with_fields)))]
 
     def joined(parts: list, kind: pa.DataType) -> pa.Array:
         return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
 
     data = [joined(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(uuids, pa.string())]
     data += [joined(roots, pa.map_(pa.string(), pa.string()))] if with_fields else []
+    data += [joined(lists, pa.list_(_VALUES))] if with_values else []
     return pa.RecordBatch.from_arrays([*data, joined(items, schema[-1][1])], schema=pa.schema(schema))
 
 
-def _spark_schema(with_fields: bool) -> str:
+def _spark_schema(with_fields: bool, with_values: bool = False) -> str:
     item = "parent_path string, child_path string" + (", pos int, fields map<string,string>" if with_fields else "")
     item = ", ".join(x.replace(" ", ": ", 1) for x in item.split(", "))
-    return "rec_id bigint, kind string, uuid string, " + ("fields map<string,string>, " if with_fields else "") + f"items array<struct<{item}>>"
+    return "rec_id bigint, kind string, uuid string, " + ("fields map<string,string>, " if with_fields else "") + ("values array<struct<parent_path: string, child_path: string, pos: int, value: string>>, " if with_values else "") + f"items array<struct<{item}>>"
 
 
-def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True) -> DataFrame:
+def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True, with_values: bool = False) -> DataFrame:
     """Valid records of the four kinds, one row each with its items, the delivery with the smallest id of each (kind, uuid).
 
     Identical deliveries meet in a grouped minimum with map-side combining, so a record delivered many times costs one row per task.
@@ -470,9 +511,9 @@ def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield flatten_batch(b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string()), with_fields)
+                yield flatten_batch(b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string()), with_fields, with_values)
 
-    flat = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).where("raw IS NOT NULL").mapInArrow(run, _spark_schema(with_fields))
+    flat = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).where("raw IS NOT NULL").mapInArrow(run, _spark_schema(with_fields, with_values))
     rest = [c for c in flat.columns if c not in ("rec_id", "kind", "uuid")]
     alone = F.when(F.col("uuid").isNull(), F.col("rec_id"))
     return (
@@ -488,3 +529,10 @@ def item_table(records: DataFrame) -> DataFrame:
     cols = [c for c in ("pos", "fields") if c in records.schema["items"].dataType.elementType.names]
     name = F.regexp_replace("i.child_path", r"\[\d+\]", "")
     return i.select("rec_id", "kind", F.regexp_replace(name, r"^\$\.", "").alias("table"), "i.parent_path", "i.child_path", *[f"i.{c}" for c in cols])
+
+
+def value_table(records: DataFrame) -> DataFrame:
+    """Scalars in arrays of all depths: rec_id, kind, table (path without positions), parent_path (the item or body above), child_path, pos, value."""
+    v = records.select("rec_id", "kind", F.explode("values").alias("v"))
+    name = F.regexp_replace("v.child_path", r"\[\d+\]", "")
+    return v.select("rec_id", "kind", F.regexp_replace(name, r"^\$\.", "").alias("table"), "v.parent_path", "v.child_path", "v.pos", "v.value")

@@ -31,6 +31,11 @@ def p1_items(spark, d):
     return i.select("rec_id", "kind", "table", "parent_path", "child_path", "pos", F.to_json("fields").alias("fields"))
 
 
+@query("p1_values")
+def p1_values(spark, d):
+    return nested.value_table(nested.flatten_records(table(spark, d, "tccdmdatum"), with_fields=False, with_values=True))
+
+
 # --- problem 2: heavy keys -----------------------------------------------------------------------------------------------
 
 _SIDES = """
