@@ -31,7 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("Event", "Subject", "FileObject", "NetFlowObject")
-RECORD_TYPES = {"RECORD_EVENT": "Event", "RECORD_SUBJECT": "Subject", "RECORD_FILE_OBJECT": "FileObject", "RECORD_NET_FLOW_OBJECT": "NetFlowObject"}
+#: Kinds that make nodes or edges of a graph.
+GRAPH_KINDS = (*KINDS, "Unit", "Principal", "SrcSinkObject", "IpcObject")
+RECORD_TYPES = {"RECORD_EVENT": "Event", "RECORD_SUBJECT": "Subject", "RECORD_FILE_OBJECT": "FileObject", "RECORD_NET_FLOW_OBJECT": "NetFlowObject", "RECORD_UNIT": "Unit", "RECORD_PRINCIPAL": "Principal", "RECORD_SRC_SINK_OBJECT": "SrcSinkObject", "RECORD_IPC_OBJECT": "IpcObject"}
 #: Keys of one-key objects that only wrap a value (besides dotted type names).
 WRAPPERS = ("array", "map", "string", "long", "int", "bytes")
 #: Fields that may hold a lone object in place of an array of one.
@@ -410,8 +412,8 @@ def _maps(t: Tokens, objects: np.ndarray) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array(off, pa.int32()), keys.take(pa.array(last)).cast(pa.string()), text.take(pa.array(there[last])).cast(pa.string()))
 
 
-def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, with_values: bool = False) -> pa.RecordBatch:
-    """One row per valid record of the four kinds: rec_id, kind, uuid, fields, values (list), items (list)."""
+def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, with_values: bool = False, wanted: tuple[str, ...] = KINDS) -> pa.RecordBatch:
+    """One row per valid record of the wanted kinds: rec_id, kind, uuid, fields, values (list), items (list)."""
     there = pc.and_(pc.is_valid(rec_id), pc.is_valid(raw))
     rec_id, raw = rec_id.filter(there), raw.filter(there)
     n = len(rec_id)
@@ -452,7 +454,7 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, wi
         texts = t.text(cur[text]) if len(text) else None
     ids, kinds, uuids, roots, lists, items = [], [], [], [], [], []
     for t, body, rec in parts:
-        known = np.isin(kind[rec].astype(str), KINDS)
+        known = np.isin(kind[rec].astype(str), wanted)
         body, rec = body[known], rec[known]
         if not len(rec):
             continue
@@ -502,8 +504,8 @@ def _spark_schema(with_fields: bool, with_values: bool = False) -> str:
     return "rec_id bigint, kind string, uuid string, " + ("fields map<string,string>, " if with_fields else "") + ("values array<struct<parent_path: string, child_path: string, pos: int, value: string>>, " if with_values else "") + f"items array<struct<{item}>>"
 
 
-def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True, with_values: bool = False) -> DataFrame:
-    """Valid records of the four kinds, one row each with its items, the delivery with the smallest id of each (kind, uuid).
+def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True, with_values: bool = False, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+    """Valid records of the kinds, one row each with its items, the delivery with the smallest id of each (kind, uuid).
 
     Identical deliveries meet in a grouped minimum with map-side combining, so a record delivered many times costs one row per task.
     """
@@ -511,7 +513,7 @@ def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw",
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                yield flatten_batch(b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string()), with_fields, with_values)
+                yield flatten_batch(b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string()), with_fields, with_values, kinds)
 
     flat = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).where("raw IS NOT NULL").mapInArrow(run, _spark_schema(with_fields, with_values))
     rest = [c for c in flat.columns if c not in ("rec_id", "kind", "uuid")]

@@ -16,6 +16,9 @@ READ_LIKE = ("EVENT_EXECUTE", "EVENT_LSEEK", "EVENT_MMAP", "EVENT_OPEN", "EVENT_
 #: Event types the store leaves out.
 LEFT_OUT = ("EVENT_FCNTL", "EVENT_OTHER", "EVENT_ADD_OBJECT_ATTRIBUTE", "EVENT_FLOWS_TO")
 
+#: Types that only occur in graphs of records, and their canonical type.
+OBJECT_TYPES = {"src_sink_object": "sink", "principal_local": "principal", "subject_unit": "unit", "subject_user": "user"}
+
 
 def read_ndjson(spark: SparkSession, path: str) -> DataFrame:
     """rec_id, file_name, raw of text files (gzip too), one record a line, blank lines left out.  rec_id grows along a file and is not dense."""
@@ -30,11 +33,11 @@ def _f(name: str):
 def load(records: DataFrame, gid: str = "cdm", ts_window: tuple[int, int] | None = None, hosts: list[str] | None = None, max_records: int | None = None) -> Graph:
     """Graph of raw records (rec_id, raw).
 
-    Subjects are nodes of type ``process``; objects have their mapped type and upgrade a placeholder of type ``object`` (a later
+    Subjects are nodes of type ``process``; objects (files, netflows, units, principals, sources and sinks, ipc) have their mapped type and upgrade a placeholder of type ``object`` (a later
     subject does not); events are edges subject -> predicateObject, left out without both ends; ends without a record of their
     own are ``process`` (or the event's subjectType) and ``object``.
     """
-    r = nested.flatten_records(records if max_records is None else records.where(F.col("rec_id") <= max_records))
+    r = nested.flatten_records(records if max_records is None else records.where(F.col("rec_id") <= max_records), kinds=nested.GRAPH_KINDS)
     r = cut(r.select("rec_id", "kind", F.lower("uuid").alias("uuid"), "fields"), "records")
     if hosts is not None:
         h = _f("hostId")
@@ -44,7 +47,9 @@ def load(records: DataFrame, gid: str = "cdm", ts_window: tuple[int, int] | None
     if ts_window:
         ev = ev.where(F.col("ts").between(*ts_window))
     ev = cut(ev, "cdm_events")
-    defs = r.where("kind <> 'Event' AND uuid IS NOT NULL").select(F.col("uuid").alias("nid"), (F.col("rec_id") * 3).alias("pos"), F.when(F.col("kind") == "Subject", "process").otherwise(F.coalesce(F.nullif(type_form(_f("type")), F.lit("")), F.lit("object"))).alias("t"), (F.col("kind") != "Subject").alias("upgrade"))
+    form = type_form(_f("type"))
+    own = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in OBJECT_TYPES.items() for x in kv]), form), F.nullif(form, F.lit("")), F.lit("object"))
+    defs = r.where("kind <> 'Event' AND uuid IS NOT NULL").select(F.col("uuid").alias("nid"), (F.col("rec_id") * 3).alias("pos"), F.when(F.col("kind") == "Subject", "process").otherwise(own).alias("t"), (F.col("kind") != "Subject").alias("upgrade"))
     ends = ev.select(F.explode(F.array(F.struct(F.col("src").alias("nid"), (F.col("rec_id") * 3 + 1).alias("pos"), F.col("stype").alias("t")), F.struct(F.col("dst").alias("nid"), (F.col("rec_id") * 3 + 2).alias("pos"), F.lit("object").alias("t")))).alias("x")).select("x.nid", "x.pos", "x.t", F.lit(False).alias("upgrade"))
     n = defs.unionByName(ends).groupBy("nid").agg(F.min(F.struct("pos", "t")).alias("first"), F.min(F.when(F.col("upgrade") & (F.col("t") != "object"), F.struct("pos", "t"))).alias("up"))
     kind = F.when((F.col("first.t") == "object") & F.col("up").isNotNull(), F.col("up.t")).otherwise(F.col("first.t"))

@@ -129,6 +129,24 @@ def test_cdm(spark, tmp_path):
     assert t["subject"].first().path == "uuid:s1"
 
 
+def test_cdm_eight_kinds(spark):
+    rec = [
+        {"datum": {"x.Event": {"uuid": "E1", "type": "EVENT_READ", "subject": "S1", "predicateObject": "I1", "timestampNanos": 5}}},
+        {"datum": {"x.IpcObject": {"uuid": "I1", "type": "IPC_OBJECT", "fd": 1}}},
+        {"type": "RECORD_PRINCIPAL", "datum": {"uuid": "P1", "groupIds": [{"groupId": "7"}]}},
+        {"datum": {"x.Principal": {"uuid": "P2", "type": "PRINCIPAL_LOCAL"}}},
+        {"type": "RECORD_SRC_SINK_OBJECT", "datum": {"uuid": "K1", "type": "SRC_SINK_OBJECT"}},
+        {"type": "RECORD_UNIT", "datum": {"uuid": "U1", "type": "SUBJECT_UNIT"}},
+        {"datum": {"x.UnitDependency": {"uuid": "D1", "unit": "U1"}}},
+        {"datum": {"x.Host": {"uuid": "H1", "hostName": "h"}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(rec)], "rec_id long, raw string")
+    g = cdm.load(df)
+    assert {r.nid: r.ntype for r in g.nodes.collect()} == {"s1": "process", "i1": "ipc", "p1": "object", "p2": "principal", "k1": "sink", "u1": "unit"}
+    assert [(r.src, r.dst) for r in g.edges.collect()] == [("s1", "i1")]
+    assert cdm.store(df)["nodes"].count() == 0
+
+
 def test_tsv_and_json_graphs(spark, tmp_path):
     (tmp_path / "a.tsv").write_text("1\ta\t2\tb\tread\t7\nshort\t1\n2\tc\t3\ta\twrite\t7\n9\ta\t9\ta\tx\t500\n")
     g = files.read_scenes(spark, str(tmp_path / "a.tsv"))
