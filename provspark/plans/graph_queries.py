@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce as reduce_
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,7 +13,7 @@ from ..operators import alerts, detect, features, graph, match, metrics, mine, r
 from ..operators.match import Template
 from ..sources import cdm, files, views
 from ..sources.views import kept, prov
-from .registry import query
+from .registry import ORACLES, query
 
 _ET = "CASE WHEN coalesce(trim(etype), '') = '' OR lower(trim(etype)) = 'event_' THEN 'event' ELSE regexp_replace(lower(trim(etype)), '^event_', '') END"
 _TYPE = "CASE lower(trim(type)) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in TYPE_NAMES.items()) + " ELSE lower(trim(type)) END"
@@ -489,6 +491,15 @@ def _(spark, d):
     return out[0].unionByName(out[1]).unionByName(out[2])
 
 
+@query("leave_one_out_all", ORACLES["leave_one_out"].replace(" WHERE label < 3", ""))
+def _(spark, d):
+    """Every group of the table is left out once; the experts of all others score it."""
+    e = views.embeddings(spark, d)
+    groups = [r.grp for r in e.where("grp IS NOT NULL").select("grp").distinct().orderBy("grp").collect()]  # one job each
+    out = alerts.leave_one_out(groups, lambda gs: detect.fit(e.where(F.col("grp").isin(gs))), lambda m, g: detect.score(e.where(F.col("grp") == g), m).groupBy("grp").agg(F.round(F.avg("score"), 6).alias("mean_score")))
+    return reduce_(DataFrame.unionByName, out.values()) if out else e.select("grp", F.lit(0.0).alias("mean_score")).limit(0)
+
+
 # --- metrics -------------------------------------------------------------------------------------------------------------
 
 _M = "WITH m AS (SELECT vec_id pos, round(embedding[1]::DOUBLE, 2) score, (label >= 8)::INTEGER y, label FROM embeddings)"

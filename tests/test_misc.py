@@ -6,6 +6,7 @@ import random
 import struct
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -192,6 +193,19 @@ def test_avro(spark, tmp_path):
     assert cdm.load(df).nodes.count() == 2
 
 
+def test_leave_one_out_takes_all_groups(spark, sf):
+    from provspark.plans.queries import QUERIES
+
+    t = pq.read_table(f"{sf}/embeddings.parquet", columns=["label", "embedding"]).to_pydict()
+    x, grp = np.array(t["embedding"], float), np.array(t["label"])
+    unit = lambda v: v / np.maximum(np.linalg.norm(v, axis=-1, keepdims=True), 1e-12)
+    x = unit(x)
+    centre = {g: unit(x[grp == g].mean(0)) for g in set(t["label"])}
+    want = {g: float(np.mean(1 - (x[grp == g] @ np.stack([c for h, c in centre.items() if h != g]).T).max(1))) for g in centre}
+    got = {r.grp: r.mean_score for r in QUERIES["leave_one_out_all"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=2e-6) and len(got) == 10
+
+
 def test_splits(spark):
     g = spark.createDataFrame([(str(i), i >= 8) for i in range(10)], "gid string, attack boolean")
     s = {r.gid: r.part for r in graph.benign_split(g, 0.75).collect()}
