@@ -706,6 +706,12 @@ def _(spark, d):
     return files.scan(table(spark, d, "tccdmdatum"), gt).select("file_name", "n_records", "n_hits")
 
 
+@query("scan_labelled", ORACLES["scan_files"].replace("SELECT DISTINCT lower(trim(src)) FROM edges WHERE eidx < 100 AND src IS NOT NULL", "SELECT DISTINCT lower(trim(uuid)) FROM gt_nodes WHERE uuid IS NOT NULL"))
+def _(spark, d):
+    """The labelled nodes that the records of each file name."""
+    return files.scan(table(spark, d, "tccdmdatum"), views.ground_truth(table(spark, d, "gt_nodes"))).select("file_name", "n_records", "n_hits")
+
+
 @query("max_loss", "SELECT vec_id node, max(v) loss FROM (SELECT vec_id, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1")
 def _(spark, d):
     e = views.embeddings(spark, d)

@@ -206,6 +206,16 @@ def test_leave_one_out_takes_all_groups(spark, sf):
     assert got == pytest.approx(want, abs=2e-6) and len(got) == 10
 
 
+def test_scan_looks_for_labels(spark, tmp_path):
+    from provspark.plans.queries import QUERIES
+
+    late, other = "aaaaaaaa-0000-0000-0000-00000000000a", "bbbbbbbb-0000-0000-0000-00000000000b"
+    spark.createDataFrame([(1, "f1", f'{{"uuid": "{late.upper()}", "x": "{other}"}}'), (2, "f1", f'"{late}"'), (3, "f2", None), (4, "f2", f'"{other}"')], "rec_id long, file_name string, raw string").write.parquet(f"{tmp_path}/tccdmdatum.parquet")
+    spark.createDataFrame([(f" {late.upper()} ", "a", 1), (None, "b", 2)], "uuid string, attributes string, index_id long").write.parquet(f"{tmp_path}/gt_nodes.parquet")
+    spark.createDataFrame([("g", 100, late), ("g", 0, other)], "gid string, eidx long, src string").write.parquet(f"{tmp_path}/edges.parquet")
+    assert sorted(map(tuple, QUERIES["scan_labelled"](spark, str(tmp_path)).collect())) == [("f1", 2, 1), ("f2", 1, 0)]
+
+
 def test_splits(spark):
     g = spark.createDataFrame([(str(i), i >= 8) for i in range(10)], "gid string, attack boolean")
     s = {r.gid: r.part for r in graph.benign_split(g, 0.75).collect()}
