@@ -653,6 +653,15 @@ def _pair(spark, d) -> DataFrame:
     return stats.paired(one("e6_alert_full"), one("e6_alert_full_v3"), ["config", "file"], "v")
 
 
+_PAIR_ALL = _PAIR.replace("any_value(F1_alert) v", "avg(DISTINCT F1_alert) v").replace(" HAVING count(*) = 1", "")
+
+
+def _pair_all(spark, d) -> DataFrame:
+    """Every slot (config, file) that both tables have: repeated rows count once, of differing ones the mean of the distinct values."""
+    one = lambda t: table(spark, d, t).groupBy("config", "file").agg(F.expr("avg(DISTINCT F1_alert)").alias("v"))
+    return stats.paired(one("e6_alert_full"), one("e6_alert_full_v3"), ["config", "file"], "v")
+
+
 @query("paired_diff", _PAIR + " SELECT config, file, round(d, 6) d FROM p")
 def _(spark, d):
     return _pair(spark, d).select("config", "file", _r("d"))
@@ -663,9 +672,19 @@ def _(spark, d):
     return stats.win_tie_loss(_pair(spark, d)).select("wins", "ties", "losses", _r("mean"))
 
 
+@query("paired_diff_all", _PAIR_ALL + " SELECT config, file, round(d, 6) d FROM p")
+def _(spark, d):
+    return _pair_all(spark, d).select("config", "file", _r("d"))
+
+
+@query("win_tie_loss_all", _PAIR_ALL + " SELECT count(*) FILTER (d > 1e-12) wins, count(*) FILTER (abs(d) <= 1e-12) ties, count(*) FILTER (d < -1e-12) losses, round(avg(d), 6) mean FROM p")
+def _(spark, d):
+    return stats.win_tie_loss(_pair_all(spark, d)).select("wins", "ties", "losses", _r("mean"))
+
+
 @query("paired_tests")
 def _(spark, d):
-    p = _pair(spark, d).cache()
+    p = _pair_all(spark, d).cache()
     a, b, q = stats.mcnemar(p.select((F.col("a") > 0.4).cast("int").alias("x"), (F.col("b") > 0.4).cast("int").alias("y")), "x", "y")
     mean, lo, hi = stats.bootstrap_mean(p, 2000)
     _, clo, chi = stats.bootstrap_mean(p, 2000, 0.9, cluster="config")

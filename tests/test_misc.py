@@ -216,6 +216,20 @@ def test_scan_looks_for_labels(spark, tmp_path):
     assert sorted(map(tuple, QUERIES["scan_labelled"](spark, str(tmp_path)).collect())) == [("f1", 2, 1), ("f2", 1, 0)]
 
 
+def test_pairs_keep_slots_of_repeated_rows(spark, tmp_path):
+    from provspark.plans.queries import QUERIES
+
+    a = [("c", "f1", 0.25), ("c", "f1", 0.25), ("c", "f2", 0.5), ("c", "f3", 0.1), ("c", "only", 1.0), (None, "f1", 1.0)]
+    b = [("c", "f1", 0.75), ("c", "f2", 0.25), ("c", "f2", 0.5), ("c", "f2", 0.25), ("c", "f2", None), ("c", "f3", 0.1), (None, "f1", 0.0)]
+    for name, rows in (("e6_alert_full", a), ("e6_alert_full_v3", b)):
+        spark.createDataFrame(rows, "config string, file string, F1_alert double").write.parquet(f"{tmp_path}/{name}.parquet")
+    d = str(tmp_path)
+    assert sorted(map(tuple, QUERIES["paired_diff_all"](spark, d).collect())) == [("c", "f1", 0.5), ("c", "f2", -0.125), ("c", "f3", 0.0)]
+    assert tuple(QUERIES["win_tie_loss_all"](spark, d).first()) == (1, 1, 1, 0.125)
+    got = {r.stat: r.value for r in QUERIES["paired_tests"](spark, d).collect()}
+    assert got["mean"] == 0.125 and (got["only_a"], got["only_b"]) == (1.0, 1.0)
+
+
 def test_splits(spark):
     g = spark.createDataFrame([(str(i), i >= 8) for i in range(10)], "gid string, attack boolean")
     s = {r.gid: r.part for r in graph.benign_split(g, 0.75).collect()}
