@@ -9,8 +9,8 @@ from pyspark.sql.window import Window as W
 from ..functions.tables import cut
 from ..sources.views import Graph
 from .graph import undirected
-from .match import Template, greedy_disjoint
-from .order import smallest
+from .match import Template, find_regions, greedy_disjoint
+from .order import numbered, smallest
 
 #: Neighbours of a slice of a hub's egonet, and slices of a hub.
 SLICE, SLICES = 4, 24
@@ -88,29 +88,49 @@ def supports(g: Graph, members: DataFrame, links: DataFrame, dedup: str = "node"
     # candidates of a size stand in the order of their hash
     items = members.groupBy("gid", "cand").agg(F.first("anchor").alias("anchor"), F.collect_set(F.concat_ws("/", "gid", "nid" if dedup == "node" else "anchor")).alias("uses"))
     c = cut(sig.join(items, ["gid", "cand"]), "buckets")
-    from .order import numbered
-
     c = cut(numbered(c, [F.desc("n_nodes"), F.desc("n_edges"), "gid", "cand"], ["sig"], name="o").withColumn("takes", F.col("uses")), "buckets")
     return greedy_disjoint(c, ["sig"])
 
 
-def mine(g: Graph, anchor_types: list[str], min_support: int = 5, max_templates: int = 80, max_nodes: int = 48, quota: int = 0, seed: int = 0, dedup: str = "node") -> list[Template]:
-    """Templates by size, then support: one of each bucket with at least ``min_support`` disjoint candidates, nodes renamed 0..n-1 with the anchor first; at most ``max_templates`` come to the driver."""
+def mine(g: Graph, anchor_types: list[str], min_support: int = 5, max_templates: int = 80, max_nodes: int = 48, quota: int = 0, seed: int = 0, dedup: str = "node", min_edges: int = 2, verify: bool = True) -> list[Template]:
+    """Templates by size, then support, nodes renamed 0..n-1 with the anchor first.
+
+    One of each bucket with at least ``min_support`` disjoint candidates and ``min_edges`` links is tried, in order of support, then
+    size, until ``max_templates`` are kept; with ``verify`` one is kept only if it folds ``min_support`` regions over all graphs.  The support
+    given is that of the disjoint candidates.
+    """
     members = candidates(g, anchor_types, max_nodes, quota=quota, seed=seed)
     links = cut(inner_links(g, members), "inner_links")
     sup = cut(supports(g, members, links, dedup), "supports")
     best = sup.groupBy("sig").agg(F.count(F.lit(1)).alias("support"), F.min_by(F.struct("gid", "cand", "anchor", "n_nodes", "n_edges"), "o").alias("r")).where(F.col("support") >= min_support)
-    best = best.select("sig", "support", "r.*").orderBy(F.desc("n_nodes"), F.desc("n_edges"), F.desc("support"), "sig").limit(max_templates)
-    best = cut(best, "templates")
-    key = best.select("gid", "cand")
-    types = members.join(key, ["gid", "cand"], "left_semi").join(g.nodes.select("gid", "nid", "ntype"), ["gid", "nid"]).select("gid", "cand", "nid", "ntype").collect()
-    edges = links.join(key, ["gid", "cand"], "left_semi").collect()
-    out = []
-    for i, b in enumerate(best.orderBy(F.desc("n_nodes"), F.desc("n_edges"), F.desc("support"), "sig").collect()):
-        mine_ = {r.nid: r.ntype for r in types if (r.gid, r.cand) == (b.gid, b.cand)}
-        name = {n: str(k) for k, n in enumerate([b.anchor, *sorted(set(mine_) - {b.anchor})])}
-        out.append(Template(f"tpl_{i}", {name[n]: t for n, t in sorted(mine_.items(), key=lambda x: int(name[x[0]]))}, tuple(sorted((name[r.src], name[r.dst]) for r in edges if (r.gid, r.cand) == (b.gid, b.cand))), "0", b.support))
-    return out
+    best = cut(best.select("sig", "support", "r.*").where(F.col("n_edges") >= min_edges), "templates")
+    ranked = cut(numbered(best, [F.desc("support"), F.desc("n_nodes"), F.desc("n_edges"), "sig"]), "templates")
+    out: list[tuple] = []
+    upto = 0
+    while len(out) < max_templates:  # no more at once than may still be kept
+        some = ranked.where((F.col("rn") > upto) & (F.col("rn") <= upto + max_templates))
+        rows = some.orderBy("rn").collect()
+        if not rows:
+            break
+        upto += len(rows)
+        key = some.select("gid", "cand")
+        types = members.join(key, ["gid", "cand"], "left_semi").join(g.nodes.select("gid", "nid", "ntype"), ["gid", "nid"]).select("gid", "cand", "nid", "ntype").collect()
+        edges = links.join(key, ["gid", "cand"], "left_semi").collect()
+        for r in rows:
+            if len(out) == max_templates:
+                break
+            t = _template(r, types, edges)
+            if not verify or find_regions(g, [t], max_instances=min_support, max_total=min_support).count() >= min_support:
+                out.append((-r.n_nodes, -r.n_edges, -r.support, r.sig, t))
+    out.sort(key=lambda x: x[:4])
+    return [Template(f"tpl_{i}", t.nodes, t.edges, t.anchor, -n) for i, (*_, n, _, t) in enumerate(out)]
+
+
+def _template(b, types: list, edges: list) -> Template:
+    """The candidate with its nodes renamed."""
+    own = {r.nid: r.ntype for r in types if (r.gid, r.cand) == (b.gid, b.cand)}
+    name = {n: str(k) for k, n in enumerate([b.anchor, *sorted(set(own) - {b.anchor})])}
+    return Template("tpl", {name[n]: t for n, t in sorted(own.items(), key=lambda x: int(name[x[0]]))}, tuple(sorted((name[r.src], name[r.dst]) for r in edges if (r.gid, r.cand) == (b.gid, b.cand))), "0")
 
 
 def coverage_subset(templates: DataFrame, coverage: float = 1.0) -> DataFrame:

@@ -165,6 +165,19 @@ def test_mining_finds_stars(spark):
     assert match.find_regions(g, t, share_k=-1).count() == 14
 
 
+def test_mining_caps_by_support_and_verifies(spark):
+    edges = [(f"c{i}", f"l{i}_{j}", "e0") for i in range(4) for j in range(4)] + [(f"d{i}", f"m{i}_{j}", "e0") for i in range(3) for j in range(5)]
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    g = make(spark, [(n, "t0" if n[0] in "cd" else "t1", 0) for n in names], edges)
+    assert [(len(x.nodes), x.support) for x in mine.mine(g, ["t0"], min_support=3, max_templates=1)] == [(5, 4)]
+    # leaves that two processes share are not absorbed, so nothing folds
+    edges = [(a, f"l{i}_{j}", "e0") for i in range(3) for j in range(2) for a in (f"c{i}", f"p{i}", f"q{i}")]
+    names = sorted({x for a, b, _ in edges for x in (a, b)})
+    g = make(spark, [(n, {"c": "t0", "l": "t1"}.get(n[0], "process"), 0) for n in names], edges)
+    assert [x.support for x in mine.mine(g, ["t0"], min_support=3, max_nodes=3, verify=False)] == [3]
+    assert mine.mine(g, ["t0"], min_support=3, max_nodes=3) == []
+
+
 def test_hub_slices_and_quota(spark):
     edges = [("hub", f"x{i:03d}", "e") for i in range(200)] + [("a", "b", "e"), ("b", "c", "e")]
     names = sorted({x for a, b, _ in edges for x in (a, b)})
