@@ -360,6 +360,13 @@ def _(spark, d):
     return mine.wl_colours(g.nodes, g.edges.where("src <> dst").select("gid", "src", "dst").distinct(), 1, ("gid",)).select("nid", "colour")
 
 
+@query("wl_colours_3")
+def _(spark, d):
+    """The operator's three rounds, in which a colour depends on more than direct neighbours."""
+    g = views.g_geo(spark, d)
+    return mine.wl_colours(g.nodes, g.edges.where("src <> dst").select("gid", "src", "dst").distinct(), 3, ("gid",)).select("nid", "colour")
+
+
 @query("template_subset_coverage", "SELECT * FROM (VALUES ('a', 0, 50::BIGINT), ('b', 1, 30::BIGINT)) t(tpl_id, tpos, support)")
 def _(spark, d):
     t = spark.createDataFrame([("a", 0, 50), ("b", 1, 30), ("c", 2, 15), ("d", 3, 5)], "tpl_id string, tpos int, support bigint")

@@ -165,6 +165,24 @@ def test_mining_finds_stars(spark):
     assert match.find_regions(g, t, share_k=-1).count() == 14
 
 
+def test_wl_three_rounds(spark, sf):
+    import hashlib
+
+    from provspark.plans.queries import QUERIES
+    from provspark.sources import views
+
+    g = views.g_geo(spark, sf)
+    col = {r.nid: r.ntype for r in g.nodes.collect()}
+    e = {(r.src, r.dst) for r in g.edges.collect()}
+    for _ in range(3):
+        succ, pred = defaultdict(list), defaultdict(list)
+        for a, b in e:
+            succ[a].append(col[b])
+            pred[b].append(col[a])
+        col = {n: hashlib.md5(f"{c}/{','.join(sorted(succ[n]) + sorted(pred[n]))}".encode()).hexdigest() for n, c in col.items()}
+    assert {r.nid: r.colour for r in QUERIES["wl_colours_3"](spark, sf).collect()} == col
+
+
 def test_mining_caps_by_support_and_verifies(spark):
     edges = [(f"c{i}", f"l{i}_{j}", "e0") for i in range(4) for j in range(4)] + [(f"d{i}", f"m{i}_{j}", "e0") for i in range(3) for j in range(5)]
     names = sorted({x for a, b, _ in edges for x in (a, b)})
