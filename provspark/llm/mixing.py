@@ -8,7 +8,7 @@ the records stand in the order of a seeded hash, are cut into blocks and used bl
 A source's shards grow in number with its tokens, so a source that holds a third of all rows is spread; there are at most
 SHARDS shards plus one per source, whose counts are all that comes to the driver.
 
-Defined results: weights that are null, NaN, 0 or negative are not mixed; null max_repeats is 1, negative is 0; rows of one
+Defined results: weights that are null, NaN, infinite, 0 or negative are not mixed; null max_repeats is 1, negative is 0; rows of one
 source in different spellings add their weights and take the larger max_repeats, equal rows count once; null sources and
 documents of unlisted sources are not mixed; null and empty texts have 0 tokens and are never chosen; documents of a repeated id
 each count; no mixed tokens give an empty mix with all shares null; other columns are ignored.
@@ -17,6 +17,8 @@ each count; no mixed tokens give an empty mix with all shares null; other column
 from __future__ import annotations
 
 import heapq
+from dataclasses import dataclass
+from fractions import Fraction
 from math import ceil
 
 from pyspark.sql import DataFrame
@@ -25,7 +27,7 @@ from pyspark.sql.window import Window as W
 
 from ..functions.normal import source_form
 from ..functions.tables import cut
-from .tokens import RANKS, encode
+from .tokens import encode
 
 BLOCK_TOKENS = 1024
 SHARD_TOKENS = 4_000_000
@@ -61,18 +63,60 @@ def apportion(weights: dict, caps: dict, blocks: int) -> dict:
     return out
 
 
-def sized(docs: DataFrame, path: str = RANKS) -> DataFrame:
-    """doc_id, source (form), n: tokens of each text."""
-    return docs.select("doc_id", source_form("source").alias("source"), F.size(encode(F.col("text"), path)).cast("bigint").alias("n"))
+def sized(docs: DataFrame, path: str | None = None, sources: list[str] | None = None) -> DataFrame:
+    """doc_id, source (form), n: tokens of each text, of the given sources only if there are any given."""
+    d = docs.select("doc_id", source_form("source").alias("source"), "text")
+    d = d if sources is None else d.where(F.col("source").isin(sources))
+    return d.select("doc_id", "source", F.size(encode(F.col("text"), path)).cast("bigint").alias("n"))
 
 
 def targets_of(mix: DataFrame) -> dict[str, tuple[float, int]]:
     """source -> (weight, max_repeats) of all mixed sources; the target table is a parameter, one row a source."""
-    rows = mix.select(source_form("source").alias("source"), F.col("weight").cast("double").alias("weight"), F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(1)).alias("r")).where("source IS NOT NULL AND weight > 0 AND NOT isnan(weight)").distinct()
+    rows = mix.select(source_form("source").alias("source"), F.col("weight").cast("double").alias("weight"), F.coalesce(F.col("max_repeats").cast("bigint"), F.lit(1)).alias("r")).where("source IS NOT NULL AND weight > 0 AND NOT isnan(weight) AND weight < double('Infinity')").distinct()
     return {x.source: (x.w, max(0, x.r)) for x in rows.groupBy("source").agg(F.sum("weight").alias("w"), F.max("r").alias("r")).collect()}
 
 
-def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, path: str = RANKS, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
+@dataclass(frozen=True)
+class Plan:
+    """What each source has, may and is to give, by source; blocks are ``quota``."""
+
+    have: dict[str, int]
+    share: dict[str, Fraction]
+    caps: dict[str, int]
+    quota: dict[str, int]
+    short: dict[str, bool]
+    budget: int
+
+
+def plan_of(have: dict[str, int], want: dict[str, tuple[float, int]], total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS) -> Plan:
+    """Blocks of each source by Sainte-Lague, and which sources fall short of their target.
+
+    Short ones come from the apportionment: the k sources together get all blocks, so a source short of its target ends within
+    (k + 3) / 2 blocks of its cap.  Of those, an exact comparison in fractions tells which caps are below the target.
+    """
+    total = sum(have.get(s, 0) for s in want)
+    budget = total if total_tokens is None else total_tokens
+    weight_sum = sum((Fraction(w) for w, _ in want.values()), Fraction(0))
+    share = {s: Fraction(w) / weight_sum for s, (w, _) in want.items()}
+    caps = {s: have.get(s, 0) * r for s, (_, r) in want.items()}
+    blocks = {s: ceil(c / block_tokens) for s, c in caps.items()}
+    quota = apportion({s: float(x) for s, x in share.items()}, blocks, ceil(budget / block_tokens))
+    full = {s for s in want if quota[s] >= blocks[s] - (len(want) + 3) / 2}
+    return Plan(have, share, caps, quota, {s: s in full and caps[s] < share[s] * budget for s in want}, budget)
+
+
+def _have(sizes: DataFrame) -> dict[str, int]:
+    return {r.source: r.n for r in sizes.groupBy("source").agg(F.sum("n").alias("n")).collect()}  # at most one row a target
+
+
+def short_sources(docs: DataFrame, targets: DataFrame, total_tokens: int | None = None, block_tokens: int = BLOCK_TOKENS, path: str | None = None) -> DataFrame:
+    """source: those that cannot reach their target even with all their repeats."""
+    want = targets_of(targets)
+    plan = plan_of(_have(sized(docs, path, list(want))), want, total_tokens, block_tokens)
+    return docs.sparkSession.createDataFrame([(s,) for s in want if plan.short[s]], "source string")
+
+
+def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int = BLOCK_TOKENS, total_tokens: int | None = None, path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> tuple[DataFrame, DataFrame]:
     """(chosen, report).
 
     chosen: doc_id, source, n, repeats of all records used.  report: one row per mixed source with its tokens, target_share,
@@ -81,16 +125,12 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int =
     """
     spark = docs.sparkSession
     want = targets_of(targets)
-    n = cut(sized(docs, path).where(F.col("source").isin(list(want))), "sizes")
-    have = {r.source: r.n for r in n.groupBy("source").agg(F.sum("n").alias("n")).collect()}
-    total = sum(have.values())
-    budget = total if total_tokens is None else total_tokens
-    weight_sum = sum(w for w, _ in want.values())
-    share = {s: w / weight_sum for s, (w, _) in want.items()}
-    caps = {s: have.get(s, 0) * r for s, (_, r) in want.items()}
-    quota = apportion(share, {s: ceil(c / block_tokens) for s, c in caps.items()}, ceil(budget / block_tokens))
+    n = cut(sized(docs, path, list(want)), "sizes")
+    have = _have(n)
+    plan = plan_of(have, want, total_tokens, block_tokens)
+    caps, quota = plan.caps, plan.quota
 
-    size = max(shard_tokens, total // SHARDS)
+    size = max(shard_tokens, sum(have.values()) // SHARDS)
     shards = {s: max(1, have.get(s, 0) // size) for s in want}
     pieces = F.create_map(*[x for s, k in shards.items() for x in (F.lit(s), F.lit(k))]) if want else F.lit(None)
     h = F.xxhash64(F.lit(seed), "doc_id")
@@ -110,8 +150,8 @@ def mix(docs: DataFrame, targets: DataFrame, seed: int = 17, block_tokens: int =
     once = F.expr("quota div blocks") + F.when(F.col("block") < F.col("quota") % F.col("blocks"), 1).otherwise(0)
     chosen = used.withColumn("repeats", F.when(F.col("used_up"), F.col("max_repeats")).otherwise(F.least("max_repeats", once))).where("repeats > 0").select("doc_id", "source", "n", "repeats")
 
-    plan = [(s, have.get(s, 0), share[s], share[s] * budget, caps[s], caps[s] < share[s] * budget, quota[s]) for s in want]
-    plan = spark.createDataFrame(plan, "source string, tokens bigint, target_share double, goal_tokens double, cap_tokens bigint, short boolean, quota_blocks bigint")
+    rows = [(s, have.get(s, 0), float(plan.share[s]), float(plan.share[s] * plan.budget), caps[s], plan.short[s], quota[s]) for s in want]
+    plan = spark.createDataFrame(rows, "source string, tokens bigint, target_share double, goal_tokens double, cap_tokens bigint, short boolean, quota_blocks bigint")
     got = chosen.groupBy("source").agg(F.sum(F.col("n") * F.col("repeats")).alias("mixed_tokens"))
     report = plan.join(F.broadcast(got), "source", "left").withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)))
     report = report.withColumn("mixed_share", F.col("mixed_tokens") / F.nullif(F.sum("mixed_tokens").over(W.partitionBy()), F.lit(0)))

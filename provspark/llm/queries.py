@@ -2,26 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.tables import table
+from ..plans.registry import query as registered
 from . import mixing, patterns, runs, spans, tokens
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+QUERIES, ORACLES = {}, {}
 
 
 def query(name: str, sql: str | None = None):
-    def add(f):
-        QUERIES[name] = f
-        if sql:
-            ORACLES[name] = sql
-        return f
-
-    return add
+    return registered(name, sql, QUERIES, ORACLES)
 
 
 # --- problem 3: frequent subsequences ------------------------------------------------------------------------------------
@@ -79,7 +70,7 @@ def p6_roundtrip(spark, d):
 
 @query("p7_found")
 def p7_found(spark, d):
-    return mixing.mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1].where("short").select("source")
+    return mixing.short_sources(table(spark, d, "documents"), table(spark, d, "mix_targets"))
 
 
 @query("p7_report")

@@ -10,7 +10,8 @@ No pairs of records are formed.  Equal stretches of an anchor are one class, cou
 cost one row per task; where an anchor has several classes, two doc_ids of each are enough to compare their windows, again by a
 combined count.  A seed that stands in a third of all texts is therefore spread by the content around it.
 
-Identity of stretches and windows is that of 128-bit fingerprints (two independent 64-bit polynomial hashes of code points).
+Anchors are chosen by a rolling hash.  Identity of stretches and windows is that of 128-bit BLAKE2b digests of their code points:
+two different ones of n agree with a chance below n^2 / 2^129 (3e-15 for 10^12 windows), also in texts made to collide.
 
 Defined results: null, empty and shorter texts share nothing; lengths and positions are in code points; a stretch repeated within
 one record only is not shared; rows with a null doc_id are left out; rows of one doc_id are one record per row, but only other
@@ -20,6 +21,7 @@ doc_ids count as another text; other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +33,7 @@ from ..functions.tables import cut
 MIN_LEN = 120
 #: Length of an anchor; windows of min_len have min_len - GRAM + 1 of them.
 GRAM = 60
-_BASES = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_BASE = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -44,21 +46,18 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 
 class _Powers:
-    """Powers of the bases and of their inverses, as far as asked for."""
+    """Powers of the base and of its inverse, as far as asked for."""
 
     def __init__(self) -> None:
-        self.up = [np.ones(1, np.uint64) for _ in _BASES]
-        self.down = [np.ones(1, np.uint64) for _ in _BASES]
+        self.up = self.down = np.ones(1, np.uint64)
 
-    def get(self, i: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up[i]) < n:
-            size = max(n, 2 * len(self.up[i]))
-            inverse = np.uint64(pow(int(_BASES[i]), -1, 2**64))
-            for tab, b in ((self.up, _BASES[i]), (self.down, inverse)):
-                p = np.full(size, b, np.uint64)
-                p[0] = 1
-                tab[i] = np.cumprod(p, dtype=np.uint64)
-        return self.up[i][:n], self.down[i][:n]
+    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 2 * len(self.up))
+            up, down = np.full(size, _BASE, np.uint64), np.full(size, np.uint64(pow(int(_BASE), -1, 2**64)), np.uint64)
+            up[0] = down[0] = 1
+            self.up, self.down = np.cumprod(up, dtype=np.uint64), np.cumprod(down, dtype=np.uint64)
+        return self.up[:n], self.down[:n]
 
 
 _powers = _Powers()
@@ -68,22 +67,20 @@ def code_points(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4")
 
 
-class Hashes:
-    """Fingerprints of all substrings of a text, by two polynomial hashes over its code points."""
+def rolling(chars: np.ndarray, size: int) -> np.ndarray:
+    """A polynomial hash of each piece of ``size`` code points."""
+    up, down = _powers.get(len(chars) + 1)
+    sums = np.zeros(len(chars) + 1, np.uint64)
+    np.cumsum(_mix(chars.astype(np.uint64) * np.uint64(256) + np.uint64(0x51)) * up[: len(chars)], out=sums[1:])
+    n = len(chars) - size + 1
+    return _mix((sums[size:] - sums[:n]) * down[:n])
 
-    def __init__(self, chars: np.ndarray):
-        self.n = len(chars)
-        c = chars.astype(np.uint64)
-        self.sums = []
-        for i, salt in enumerate((0x51, 0xA3)):
-            up, _ = _powers.get(i, self.n + 1)
-            s = np.zeros(self.n + 1, np.uint64)
-            np.cumsum(_mix(c * np.uint64(256) + np.uint64(salt)) * up[: self.n], out=s[1:])
-            self.sums.append(s)
 
-    def of(self, i: int, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        _, down = _powers.get(i, self.n + 1)
-        return _mix((self.sums[i][end] - self.sums[i][start]) * down[start] + (end - start).astype(np.uint64))
+def digests(chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """128-bit digests of the stretches, one row of two numbers each."""
+    raw = memoryview(chars).cast("B")
+    parts = [blake2b(raw[a:b], digest_size=16).digest() for a, b in zip((start * 4).tolist(), (end * 4).tolist(), strict=True)]
+    return np.frombuffer(b"".join(parts), "<u8").reshape(-1, 2)
 
 
 def _last_least(h: np.ndarray, w: int) -> np.ndarray:
@@ -99,41 +96,39 @@ def _last_least(h: np.ndarray, w: int) -> np.ndarray:
     return at
 
 
-def anchors(text: str, min_len: int, gram: int) -> tuple[Hashes, np.ndarray, np.ndarray, np.ndarray] | None:
-    """(hashes, anchor place, first and last window start that chose it) of a text, or None if it is too short."""
-    chars = code_points(text)
+def anchors(chars: np.ndarray, min_len: int, gram: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(anchor, its place, first and last window start that chose it) of a text, or None if it is too short."""
     if len(chars) < min_len:
         return None
-    hs = Hashes(chars)
-    start = np.arange(len(chars) - gram + 1)
-    least = _last_least(hs.of(0, start, start + gram), min_len - gram + 1)
+    h = rolling(chars, gram)
+    least = _last_least(h, min_len - gram + 1)
     new = np.flatnonzero(np.append(True, least[1:] != least[:-1]))
     last = np.append(new[1:], len(least)) - 1
-    return hs, least[new], new, last
+    return h[least[new]], least[new], new, last
 
 
 def _signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+    return pa.array(np.ascontiguousarray(x, np.uint64).view(np.int64))
 
 
 _OCC = "doc_id bigint, lo int, hi int, anchor bigint, c1 bigint, c2 bigint"
 
 
 def occurrences(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
-    """doc_id, lo, hi, anchor, c1, c2: anchors of each text, the window starts lo..hi that chose them, and the fingerprint of the
+    """doc_id, lo, hi, anchor, c1, c2: anchors of each text, the window starts lo..hi that chose them, and the digest of the
     stretch of those windows together with the anchor's place in it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts: list[list] = [[] for _ in range(6)]
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                got = anchors(text, min_len, gram)
+                chars = code_points(text)
+                got = anchors(chars, min_len, gram)
                 if got is None:
                     continue
-                hs, place, lo, hi = got
-                end = hi + min_len
-                shift = _mix((place - lo).astype(np.uint64))
-                for p, x in zip(parts, (np.full(len(lo), doc), lo, hi, hs.of(0, place, place + gram), hs.of(0, lo, end) ^ shift, hs.of(1, lo, end)), strict=True):
+                anchor, place, lo, hi = got
+                d = digests(chars, lo, hi + min_len)
+                for p, x in zip(parts, (np.full(len(lo), doc), lo, hi, anchor, d[:, 0] ^ _mix((place - lo).astype(np.uint64)), d[:, 1]), strict=True):
                     p.append(x)
             if parts[0]:
                 doc, lo, hi, a, c1, c2 = (np.concatenate(p) for p in parts)
@@ -143,23 +138,24 @@ def occurrences(docs: DataFrame, min_len: int, gram: int) -> DataFrame:
 
 
 def _windows(docs: DataFrame, wanted: DataFrame, min_len: int) -> DataFrame:
-    """doc_id, s, w1, w2: fingerprints of the windows lo..hi of each document.  ``wanted``: doc_id, ranges (array of lo, hi)."""
+    """doc_id, s, w1, w2: digests of the windows lo..hi of each document.  ``wanted``: doc_id, ranges (array of lo, hi)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out: list[list] = [[] for _ in range(4)]
             for doc, text, ranges in zip(*(c.to_pylist() for c in b.columns), strict=True):
-                hs = Hashes(code_points(text))
+                chars = code_points(text)
                 lo, hi = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
-                ok = hi + min_len <= hs.n  # of another row of this doc_id otherwise
+                ok = hi + min_len <= len(chars)  # of another row of this doc_id otherwise
                 lo, hi = lo[ok], hi[ok]
                 n = hi - lo + 1
                 s = np.unique(np.arange(n.sum()) + np.repeat(lo - np.append(0, np.cumsum(n)[:-1]), n)) if len(n) else lo
-                for p, x in zip(out, (np.full(len(s), doc), s, hs.of(0, s, s + min_len), hs.of(1, s, s + min_len)), strict=True):
+                d = digests(chars, s, s + min_len)
+                for p, x in zip(out, (np.full(len(s), doc), s, d[:, 0], d[:, 1]), strict=True):
                     p.append(x)
             if out[0]:
                 doc, s, w1, w2 = (np.concatenate(p) for p in out)
-                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), _signed(w1.astype(np.uint64)), _signed(w2.astype(np.uint64))], names=["doc_id", "s", "w1", "w2"])
+                yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(s, pa.int32()), _signed(w1), _signed(w2)], names=["doc_id", "s", "w1", "w2"])
 
     texts = docs.select(F.col("doc_id").cast("bigint"), "text").where(F.col("doc_id").isNotNull() & (F.length("text") >= min_len))
     return texts.join(wanted, "doc_id").select("doc_id", "text", "ranges").mapInArrow(run, "doc_id bigint, s int, w1 bigint, w2 bigint")

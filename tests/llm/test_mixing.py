@@ -1,6 +1,7 @@
 """Problem 7: apportionment against the plain rule, and what a mix must keep to."""
 
 import random
+from fractions import Fraction
 from collections import Counter
 
 import pytest
@@ -70,6 +71,19 @@ def test_mix(spark, shard):
     assert abs(sum(r.mixed_share for r in rep.values()) - 1) < 1e-9
 
 
+def test_short_by_apportionment():
+    """What the apportionment calls short are the sources whose cap is below their target, also at the very boundary."""
+    r = random.Random(3)
+    for _ in range(400):
+        want = {f"s{i}": (r.choice([1.0, 2.0, 0.1, 0.3, r.random() * 5 + 1e-6]), r.randrange(0, 4)) for i in range(r.randrange(1, 8))}
+        have = {s: r.choice([0, 10, 1000, 4096, r.randrange(20_000)]) for s in want if r.random() < 0.9}
+        plan = M.plan_of(have, want, block_tokens=r.choice([1, 64, 1024]))
+        total, weights = sum(have.values()), sum(Fraction(w) for w, _ in want.values())
+        assert plan.short == {s: have.get(s, 0) * k * weights < Fraction(w) * total for s, (w, k) in want.items()}
+    even = M.plan_of({"a": 100, "b": 300}, {"a": (1.0, 2), "b": (1.0, 1)}, block_tokens=7)
+    assert even.short == {"a": False, "b": False} and even.caps["a"] == 200
+
+
 def test_seeded(spark):
     _, df = docs(spark)
     t = targets(spark, [("a", 1.0, 1), ("b", 3.0, 1)])

@@ -1,6 +1,7 @@
 """Problem 6 against the tokenizer's own library, and there and back."""
 
 import base64
+import random
 
 import public_tokenizers as P
 import pyarrow.parquet as pq
@@ -28,6 +29,30 @@ def test_texts(spark, name):
         assert r.back == (TEXTS[r.doc_id] or "")
 
 
+def test_long_words(spark):
+    """Tiles join to what the whole word gives, also where a word repeats itself; time grows with its length, not with the square."""
+    path = P.path("byte_bpe_50k.tiktoken")
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    r = random.Random(5)
+    some = lambda al, n: "".join(r.choice(al) for _ in range(n))
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    words = ["x" * 3000, "ab" * 900, "abc" * 777, "aab" * 700, "=" * 3001, "9" * 1000, "日" * 1500, "のの" * 300 + "ABC" * 200, "é" * 300, some("aeiou日本語", 2000)]
+    words += [some(letters[: r.choice([2, 3, 5, 26])], r.randrange(40, 1500)) for _ in range(40)]
+    words += [some(letters, 200_000)]
+    got = T.encode_documents(spark.createDataFrame(list(enumerate(words)), "doc_id int, text string")).collect()
+    assert len(got) == len(words)
+    for x in got:
+        assert x.ids == enc.encode_ordinary(words[x.doc_id]), words[x.doc_id][:50]
+
+
+def test_ids_too_large(tmp_path):
+    f = tmp_path / "ranks"
+    f.write_bytes(b"".join(base64.b64encode(bytes([i])) + b" %d\n" % (i + 65_400) for i in range(256)))
+    with pytest.raises(ValueError, match="must stay below"):
+        T.encode(F.col("text"), str(f))
+
+
 def test_table(spark, sf):
     from tokenizers import Tokenizer
 
