@@ -13,8 +13,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from ..functions.tables import cut
+from ..functions.tables import cut, drop
 from .order import numbered
+from .skew import wide_percentiles
 
 SORTS = ("agg", "cmax", "p95", "seed", "rand")
 
@@ -23,13 +24,15 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """gid, nid, comp: the least nid of each node's component.  Labels spread to neighbours and jump along label pointers until none changes."""
     e = edges.where("src <> dst").select("gid", F.explode(F.array(F.struct(F.col("src").alias("a"), F.col("dst").alias("b")), F.struct(F.col("dst").alias("a"), F.col("src").alias("b")))).alias("x")).select("gid", "x.a", "x.b").distinct()
     e = cut(e, "undirected")
-    lab = cut(nodes.select("gid", "nid", F.col("nid").alias("comp")), "labels")
+    old = lab = cut(nodes.select("gid", "nid", F.col("nid").alias("comp")), "labels")
     while True:
         near = e.join(lab.withColumnRenamed("nid", "b"), ["gid", "b"]).groupBy("gid", F.col("a").alias("nid")).agg(F.min("comp").alias("c"))
         new = lab.join(near, ["gid", "nid"], "left").select("gid", "nid", F.least("comp", F.coalesce("c", "comp")).alias("next"), "comp")
         jump = new.select("gid", F.col("nid").alias("next"), F.col("next").alias("far"))
         new = cut(new.join(jump, ["gid", "next"], "left").select("gid", "nid", F.least("next", F.coalesce("far", "next")).alias("next"), "comp"), "labels")
         changed = not new.where("next <> comp").isEmpty()
+        drop(old)
+        old = new
         lab = new.select("gid", "nid", F.col("next").alias("comp"))
         if not changed:
             return lab
@@ -38,7 +41,7 @@ def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 def suspicious(scores: DataFrame, top_k: int, q: float) -> DataFrame:
     """gid, nid, npos, score, seed_rank (null if no seed): nodes at or above the graph's q-quantile, and the top_k seeds in stable order."""
     rows = numbered(scores.select("gid", "nid", "npos", "score"), [F.desc("score"), "npos"], ["gid"])
-    limit = scores.groupBy("gid").agg(F.expr(f"percentile(score, {q})").alias("limit"))
+    limit = wide_percentiles(scores, ["gid"], {"limit": ("score", q)})
     x = rows.join(limit, "gid").where((F.col("rn") <= top_k) | (F.col("score") >= F.col("limit")))
     return x.select("gid", "nid", "npos", "score", F.when(F.col("rn") <= top_k, F.col("rn")).alias("seed_rank"), (F.col("score") >= F.col("limit")).alias("dense"))
 
@@ -100,7 +103,7 @@ def clusters(scores: DataFrame, edges: DataFrame, top_k: int = 100, bfs_q: float
         grown = rows.withColumn("seed_rank", F.col("seed_rank").cast("int")).groupBy("gid", "comp").applyInArrow(replay, "gid string, seed_rank int, seed_nid string, nid string, score double")
     grown = cut(grown, "clusters")
     order = {"agg": F.col("agg"), "cmax": F.col("cmax"), "p95": F.col("p95"), "seed": -F.col("seed_rank"), "rand": F.xxhash64(F.lit(seed), "seed_nid")}[sort]
-    agg = grown.groupBy("gid", "seed_rank", "seed_nid").agg((F.max("score") * wmax + F.avg("score") * (1 - wmax)).alias("agg"), F.max("score").alias("cmax"), F.expr("percentile(score, 0.95)").alias("p95"))
+    agg = grown.groupBy("gid", "seed_rank", "seed_nid").agg((F.max("score") * wmax + F.avg("score") * (1 - wmax)).alias("agg"), F.max("score").alias("cmax"), F.expr("percentile(score, 0.95)").alias("p95"))  # of at most max_cluster scores
     # at most top_k clusters a graph
     best = agg.withColumn("rank", F.row_number().over(W.partitionBy("gid").orderBy(order.desc(), "seed_rank"))).where(F.col("rank") <= max_alerts)
     return grown.select("gid", "seed_nid", "nid").join(best.select("gid", "seed_nid", "rank", "agg"), ["gid", "seed_nid"]).select("gid", "rank", "seed_nid", "nid", "agg")
@@ -110,6 +113,19 @@ def _f1(p, r):
     return F.when(p + r == 0, 0.0).otherwise(2 * p * r / (p + r))
 
 
+def uncapped(scores: DataFrame, edges: DataFrame, top_k: int = 100, q: float = 0.5, min_cluster: int = 3) -> DataFrame:
+    """gid, comp, nid, agg: the connected components of the nodes at or above the median, with seeds in them, of any size.
+
+    Without a cap a cluster is its whole component, whatever order a search takes, so no search is run.
+    """
+    s = cut(suspicious(scores, top_k, q), "suspicious")
+    dense = s.where("dense").select("gid", "nid")
+    e = edges.join(dense.withColumnRenamed("nid", "src"), ["gid", "src"], "left_semi").join(dense.withColumnRenamed("nid", "dst"), ["gid", "dst"], "left_semi")
+    c = s.where("dense").join(components(e, dense), ["gid", "nid"])
+    a = c.groupBy("gid", "comp").agg(F.count(F.lit(1)).alias("n"), F.count("seed_rank").alias("seeds"), (F.max("score") * 0.7 + F.avg("score") * 0.3).alias("agg")).where((F.col("n") >= min_cluster) & (F.col("seeds") > 0))
+    return c.select("gid", "comp", "nid").join(a.select("gid", "comp", "agg"), ["gid", "comp"]).select("gid", "comp", "nid", "agg")
+
+
 def alert_metrics(alerts: DataFrame, scores: DataFrame, top_k: int = 100) -> DataFrame:
     """One row a graph: n_gt, n_alerts, alert_TP, alert_P, node_cov, F1_alert, best_F1_alert, best_b, first_hit, top1_hit, n_alerted_nodes, covered_gt, node_prec, flat_topk_cov, flat_topk_prec.  ``scores`` has y (1 = attack)."""
     gt = scores.groupBy("gid").agg(F.sum("y").alias("n_gt"), F.count(F.lit(1)).alias("n"))
@@ -139,13 +155,25 @@ def alert_metrics(alerts: DataFrame, scores: DataFrame, top_k: int = 100) -> Dat
 
 
 def orig_metrics(alerts: DataFrame, nodes: DataFrame, node_map: DataFrame) -> DataFrame:
-    """gid, n_orig, n_kept, n_absorbed, orig_covered, orig_recall, load: labelled originals reached through the node map, and originals behind alerted nodes."""
+    """gid, n_orig, n_kept, n_absorbed, orig_covered, orig_recall, load, F1_orig: labelled originals reached through the node map, originals
+    behind alerted nodes, and the F1 of that recall and the share of alerts that hold a labelled original."""
     hit = alerts.select("gid", F.col("nid").alias("new_nid")).distinct().withColumn("hit", F.lit(1))
     m = nodes.join(node_map, ["gid", "nid"], "left").select("gid", "nid", F.coalesce("label", F.lit(0)).alias("label"), F.coalesce("new_nid", "nid").alias("new_nid")).join(hit, ["gid", "new_nid"], "left")
     one = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0))
     g, kept, hit_ = F.col("label") == 1, F.col("nid") == F.col("new_nid"), F.col("hit").isNotNull()
     x = m.groupBy("gid").agg(one(g).alias("n_orig"), one(g & kept).alias("n_kept"), one(g & ~kept).alias("n_absorbed"), one(g & hit_).alias("orig_covered"), one(hit_).alias("load"))
-    return x.withColumn("orig_recall", F.when(F.col("n_orig") > 0, F.col("orig_covered") / F.col("n_orig")).otherwise(0.0))
+    x = x.withColumn("orig_recall", F.when(F.col("n_orig") > 0, F.col("orig_covered") / F.col("n_orig")).otherwise(0.0))
+    attacked = m.where(g).select("gid", F.col("new_nid").alias("nid")).distinct().withColumn("tp", F.lit(1))
+    per = alerts.join(attacked, ["gid", "nid"], "left").groupBy("gid", "rank").agg(F.max(F.coalesce("tp", F.lit(0))).alias("tp")).groupBy("gid").agg(F.avg("tp").alias("_p"))
+    return x.join(per, "gid", "left").withColumn("F1_orig", _f1(F.coalesce("_p", F.lit(0.0)), F.col("orig_recall"))).drop("_p")
+
+
+def alert_totals(metrics: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """by..., windows, alerts, tp, gt, covered, nodes and alert_P, node_cov, F1, node_prec of them: what ``alert_metrics`` counts, over all windows of a system."""
+    z = metrics.groupBy(*(by or [])).agg(*[F.count(F.lit(1)).alias("windows") if k == "windows" else F.coalesce(F.sum(c), F.lit(0)).cast("bigint").alias(k) for k, c in (("windows", ""), ("alerts", "n_alerts"), ("tp", "alert_TP"), ("gt", "n_gt"), ("covered", "covered_gt"), ("nodes", "n_alerted_nodes"))])
+    share = lambda a, b: F.when(F.col(b) > 0, F.col(a) / F.col(b)).otherwise(0.0)
+    z = z.withColumns({"alert_P": share("tp", "alerts"), "node_cov": share("covered", "gt"), "node_prec": share("covered", "nodes")})
+    return z.withColumn("F1", _f1(F.col("alert_P"), F.col("node_cov")))
 
 
 def degree_distortion(before: DataFrame, after: DataFrame, nodes: DataFrame, node_map: DataFrame) -> DataFrame:

@@ -11,7 +11,9 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.tables import cut
 from .features import dot, unit
+from .skew import percentiles, wide_percentiles
 
 
 #: Cosines computed at once in a task.
@@ -34,7 +36,7 @@ def fit(rows: DataFrame, q: float = 0.05, least_radius: float = 0.5, group: str
     """Centroid of the unit vectors of each group, scaled to length 1, and the radius: the larger of the q-quantile of the rows' cosine to it and ``least_radius``."""
     x = rows.select(F.col(group).alias("grp"), unit(F.col(vec)).alias("u"))
     c = x.groupBy("grp").agg(Summarizer.mean(array_to_vector("u")).alias("m")).select("grp", unit(vector_to_array("m")).alias("centroid"))
-    r = x.join(c, "grp").withColumn("s", dot(F.col("u"), F.col("centroid"))).groupBy("grp").agg(F.expr(f"percentile(s, {q})").alias("p"))
+    r = wide_percentiles(x.join(c, "grp").select("grp", dot(F.col("u"), F.col("centroid")).alias("s")), ["grp"], {"p": ("s", q)})
     return Ensemble(c.join(r, "grp").select("grp", "centroid", F.greatest("p", F.lit(least_radius)).alias("radius")))
 
 
@@ -68,7 +70,7 @@ def score(rows: DataFrame, model: Ensemble, vec: str = "vec", max_experts: int =
 
 def operating_point(scores: DataFrame, q: float = 0.95) -> DataFrame:
     """threshold: the q-quantile of pooled training scores."""
-    return scores.agg(F.expr(f"percentile(score, {q})").alias("threshold"))
+    return percentiles(scores, [], "score", (q,)).agg(F.max("value").alias("threshold"))
 
 
 def mahalanobis(train: DataFrame, rows: DataFrame, vec: str = "vec", shrink: float = 1e-3) -> DataFrame:
@@ -89,7 +91,7 @@ def mahalanobis(train: DataFrame, rows: DataFrame, vec: str = "vec", shrink: flo
 
             yield pa.RecordBatch.from_arrays([pa.array([n], pa.int64()), pa.array([s.tolist()], pa.list_(pa.float64())), pa.array([g.ravel().tolist()], pa.list_(pa.float64()))], names=["n", "s", "g"])
 
-    parts = x.mapInArrow(moments, "n bigint, s array<double>, g array<double>")
+    parts = cut(x.mapInArrow(moments, "n bigint, s array<double>, g array<double>"), "moments")  # one row a task
     total = parts.select("n", F.posexplode(F.concat("s", "g")).alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v")).orderBy("i").collect()
     n = parts.agg(F.sum("n")).first()[0]
     if not n:
@@ -99,7 +101,13 @@ def mahalanobis(train: DataFrame, rows: DataFrame, vec: str = "vec", shrink: flo
     mean = flat[:d] / n
     cov = flat[d:].reshape(d, d) / n - np.outer(mean, mean)
     cov = (1 - shrink) * cov + shrink * np.diag(np.diag(cov)) + 1e-9 * np.eye(d)
-    half = np.linalg.cholesky(np.linalg.inv(cov)).T  # distance = |half (x - mean)|^2
-    centred = F.zip_with(F.col(vec), F.array(*[F.lit(float(m)) for m in mean]), lambda a, b: a - b)
-    lines = [dot(F.col("_c"), F.array(*[F.lit(float(v)) for v in row])) for row in half]
-    return rows.withColumn("_c", centred).withColumn("_y", F.array(*lines)).withColumn("distance", dot(F.col("_y"), F.col("_y"))).drop("_c", "_y")
+    half = np.linalg.cholesky(np.linalg.inv(cov))  # distance = |(x - mean) half|^2
+
+    @F.pandas_udf("double")
+    def far(vecs: pd.Series) -> pd.Series:
+        out, there = np.full(len(vecs), np.nan), np.flatnonzero(vecs.notna().to_numpy())
+        if len(there):
+            out[there] = (((np.stack(vecs.iloc[there].to_numpy()) - mean) @ half) ** 2).sum(1)
+        return pd.Series(out)
+
+    return rows.withColumn("_d", far(F.col(vec))).select(*rows.columns, F.when(~F.isnan("_d"), F.col("_d")).alias("distance"))

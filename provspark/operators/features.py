@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.views import Graph
 from .graph import degrees
 from .order import numbered
+from .skew import wide_percentiles
 
 ENCODINGS = ("none", "dual_naive", "rate", "rate_single", "rate_ratio", "rate_ratio_only", "rate_rank")
 STRUCTURAL = ("log_deg", "out_in_ratio", "nbr_type_div", "self_loop")
@@ -87,13 +88,11 @@ def structural(g: Graph, true_diversity: bool = False) -> DataFrame:
 
 
 def robust(df: DataFrame, cols: tuple[str, ...], by: str = "gid", eps: float = 1e-9) -> DataFrame:
-    """Columns as (x - median) / IQR within the group, an IQR below eps taken as 1.  Exact percentiles merge value counts, not rows."""
-    stats = df.groupBy(by).agg(*[F.expr(f"percentile({c}, array(0.25, 0.5, 0.75))").alias(f"_q_{c}") for c in cols])
-    x = df.join(stats, by)
+    """Columns as (x - median) / IQR within the group, an IQR below eps taken as 1.  The percentiles are exact, of groups of any size."""
+    x = df.join(wide_percentiles(df, [by], {f"_{k}_{c}": (c, q) for c in cols for k, q in enumerate((0.25, 0.5, 0.75))}), by)
     for c in cols:
-        q = F.col(f"_q_{c}")
-        iqr = q[2] - q[0]
-        x = x.withColumn(c, (F.col(c) - q[1]) / F.when(iqr < eps, 1.0).otherwise(iqr))
+        iqr = F.col(f"_2_{c}") - F.col(f"_0_{c}")
+        x = x.withColumn(c, (F.col(c) - F.col(f"_1_{c}")) / F.when(iqr < eps, 1.0).otherwise(iqr))
     return x.select(df.columns)
 
 
@@ -134,7 +133,6 @@ def mean_neighbours(g: Graph, feats: DataFrame) -> DataFrame:
 
 
 
-
 def document_vectors(docs: DataFrame, vectors: DataFrame, dim: int, positional_below: int = 100_000, base: float = 10_000.0) -> DataFrame:
     """key, vec: mean of the vectors of a document's known words, each with the sinusoidal position of its place among them added.
 

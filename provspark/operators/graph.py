@@ -9,7 +9,9 @@ from pyspark.sql.window import Window as W
 from ..sources.views import Graph
 from .order import numbered
 
+#: Parts of the names of subject types, and the types whose neighbours count as processes.
 SUBJECT_WORDS = ("process", "subject", "unit", "proc", "principal", "task")
+PROCESS_TYPES = ("process", "subject")
 
 
 def graph_stats(g: Graph) -> DataFrame:
@@ -116,17 +118,13 @@ def induced_edges(g: Graph, members: DataFrame) -> DataFrame:
     return g.edges.join(m.withColumnRenamed("nid", "src"), ["gid", "src"]).join(m.withColumnRenamed("nid", "dst"), ["gid", "anchor", "dst"]).select("anchor", *g.edges.columns)
 
 
-def _act(g: Graph, types: tuple[str, ...] = ("process", "subject")) -> DataFrame:
-    t = F.lower("ntype")
-    cond = F.lit(False)
-    for x in types:
-        cond = cond | t.contains(x)
-    return g.nodes.where(cond).select("gid", "nid")
+def _is_subject():
+    return F.lower("ntype").rlike("|".join(SUBJECT_WORDS))
 
 
-def process_refs(g: Graph) -> DataFrame:
-    """gid, nid, proc: one row for each edge between a process and a node, in either direction."""
-    act = _act(g)
+def process_refs(g: Graph, subjects: bool = False) -> DataFrame:
+    """gid, nid, proc: one row for each edge between a process and a node, in either direction.  With ``subjects`` all nodes of a type named like a subject are processes."""
+    act = g.nodes.where(_is_subject() if subjects else F.lower("ntype").isin(*PROCESS_TYPES)).select("gid", "nid")
     a = g.edges.join(act.withColumnRenamed("nid", "src"), ["gid", "src"], "left_semi").select("gid", F.col("dst").alias("nid"), F.col("src").alias("proc"))
     b = g.edges.join(act.withColumnRenamed("nid", "dst"), ["gid", "dst"], "left_semi").select("gid", F.col("src").alias("nid"), F.col("dst").alias("proc"))
     return a.unionByName(b)
@@ -139,14 +137,14 @@ def shared_objects(g: Graph, k: int = 2) -> DataFrame:
 
 
 def context_nodes(g: Graph, k: int = 2) -> DataFrame:
-    """gid, nid of nodes with at least k edges to processes."""
-    return process_refs(g).groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("gid", "nid")
+    """gid, nid of nodes with at least k edges to subjects."""
+    return process_refs(g, subjects=True).groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= k).select("gid", "nid")
 
 
 def semantic_types(g: Graph, rare: float = 0.02, least: int = 4) -> DataFrame:
     """ntype, n: types named like a subject; if there is none, rare types of at least ``least`` nodes."""
     h = g.nodes.groupBy("ntype").agg(F.count(F.lit(1)).alias("n"))  # one row a type
-    named = F.lower("ntype").rlike("|".join(SUBJECT_WORDS))
+    named = _is_subject()
     w = W.partitionBy()
     h = h.select("ntype", "n", named.alias("named"), F.max(named.cast("int")).over(w).alias("any"), F.sum("n").over(w).alias("total"))
     return h.where((F.col("named")) | ((F.col("any") == 0) & (F.col("n") <= rare * F.col("total")) & (F.col("n") >= least))).select("ntype", "n")
@@ -181,3 +179,18 @@ def process_profile(g: Graph, k: int = 2) -> DataFrame:
     users = pairs.groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("users"))
     x = pairs.join(users, ["gid", "nid"])
     return x.groupBy("gid", "proc").agg(F.sum("e").alias("n_edges"), F.count(F.lit(1)).alias("n_objects"), F.sum((F.col("users") < k).cast("bigint")).alias("n_private"))
+
+
+def egonet_profile(g: Graph, k: int = 2) -> DataFrame:
+    """gid, proc, ntype, d, n, n_private: of each process, by direction and type, its different neighbours and those that fewer than k processes touch."""
+    r = process_refs(g).distinct()
+    users = r.groupBy("gid", "nid").agg(F.count(F.lit(1)).alias("users"))
+    e = g.edges.select("gid", F.explode(F.array(F.struct(F.col("src").alias("proc"), F.lit("o").alias("d"), F.col("dst").alias("nid")), F.struct(F.col("dst").alias("proc"), F.lit("i").alias("d"), F.col("src").alias("nid")))).alias("x")).select("gid", "x.*").where("proc <> nid").distinct()
+    e = e.join(r, ["gid", "nid", "proc"], "left_semi").join(users, ["gid", "nid"]).join(g.nodes.select("gid", "nid", "ntype"), ["gid", "nid"])
+    own = g.nodes.where(F.lower("ntype").isin(*PROCESS_TYPES)).select("gid", F.col("nid").alias("proc"))
+    return e.join(own, ["gid", "proc"], "left_semi").groupBy("gid", "proc", "ntype", "d").agg(F.count(F.lit(1)).alias("n"), F.sum((F.col("users") < k).cast("bigint")).alias("n_private"))
+
+
+def missing(listed: DataFrame, found: DataFrame) -> DataFrame:
+    """gid, nid: what is listed and not found, once each."""
+    return listed.select("gid", "nid").distinct().join(found.select("gid", "nid"), ["gid", "nid"], "left_anti")

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.tables import cut
+from ..functions.tables import cut, drop
 from ..sources.views import Graph
 from .graph import context_nodes, shared_objects
 from .order import numbered, smallest
@@ -125,7 +125,9 @@ def greedy_disjoint(cands: DataFrame, group: list[str], key: str = "o", uses: st
         chosen = now if chosen is None else chosen.unionByName(now)
         gone = live.where("takes").join(now, [*group, key], "left_semi").select(*group, "item").distinct()
         hit = live.join(gone, [*group, "item"], "left_semi").select(*group, key).distinct()
-        live = cut(live.join(hit.unionByName(now).distinct(), [*group, key], "left_anti"), "items")
+        rest = cut(live.join(hit.unionByName(now).distinct(), [*group, key], "left_anti"), "items")
+        drop(live)
+        live = rest
     return cands.limit(0) if chosen is None else cands.join(chosen, [*group, key], "left_semi")
 
 

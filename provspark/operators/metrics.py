@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .order import numbered
+from .skew import percentiles
 
 
 def _safe(a: Column, b: Column) -> Column:
@@ -73,11 +74,12 @@ def tpr_at_fpr(df: DataFrame, limits: tuple[float, ...] = (0.001, 0.01, 0.05), *
 
 
 def roc_auc(df: DataFrame, ties: str = "average", score: str = "score", y: str = "y", pos: str = "pos") -> DataFrame:
-    """auc by rank sums: tied scores get their average rank (``average``), or ranks by position in ascending stable order (``stable``)."""
-    if ties == "stable":
+    """auc by rank sums: tied scores get their average rank (``average``), or ranks by position in ascending stable order (``stable``),
+    counted from 1, or from 0 (``zero``, which is 1/negatives lower)."""
+    if ties in ("stable", "zero"):
         x = df.select(F.col(score).cast("double").alias("score"), F.col(y).cast("int").alias("y"), F.col(pos).alias("pos")).where("score IS NOT NULL AND y IS NOT NULL")
         r = numbered(x, ["score", "pos"])
-        a = r.agg(F.sum(F.when(F.col("y") == 1, F.col("rn"))).cast("double").alias("s"), F.sum("y").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
+        a = r.agg(F.sum(F.when(F.col("y") == 1, F.col("rn") - (1 if ties == "zero" else 0))).cast("double").alias("s"), F.sum("y").cast("double").alias("p"), F.count(F.lit(1)).cast("double").alias("n"))
     elif ties == "average":
         d = df.select(F.col(score).cast("double").alias("score"), F.col(y).cast("bigint").alias("y")).where("score IS NOT NULL AND y IS NOT NULL").groupBy("score").agg(F.count(F.lit(1)).alias("c"), F.sum("y").alias("y"))
         r = numbered(d, ["score"], sums={"upto": "c"})
@@ -109,6 +111,39 @@ def summary_by(df: DataFrame, by: list[str], value: str, pivot: str | None = Non
 
 
 def score_stats(df: DataFrame, threshold: float) -> DataFrame:
-    return df.agg(F.expr("percentile(score, 0.95)").alias("p95"), F.expr("percentile(score, 0.99)").alias("p99"), F.max("score").alias("max"), F.avg((F.col("score") >= threshold).cast("double")).alias("share"))
+    """p95, p99, max, share at or above the threshold."""
+    own = df.agg(F.max("score").cast("double").alias("max"), F.avg((F.col("score") >= threshold).cast("double")).alias("share"))
+    x = percentiles(df, [], "score", (0.95, 0.99)).unionByName(own.select(F.explode(F.array(F.struct(F.lit(2.0).alias("q"), F.col("max").alias("value")), F.struct(F.lit(3.0).alias("q"), F.col("share").alias("value")))).alias("x")).select("x.*"))
+    return x.agg(*[F.max(F.when(F.col("q") == q, F.col("value"))).alias(c) for c, q in (("p95", 0.95), ("p99", 0.99), ("max", 2.0), ("share", 3.0))])
 
 
+def top_k_table(df: DataFrame, ks: tuple[int, ...] = (10, 50, 100, 500, 1000), **kw) -> DataFrame:
+    """k, tp, precision, recall, f1, threshold: the cut after the first min(k, n) rows."""
+    c = curve(df, **kw).withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks]))).where("rn <= k")
+    return c.groupBy("k").agg(F.max_by(F.struct("tp", "precision", "recall", "f1", "score"), "rn").alias("x")).select("k", "x.tp", "x.precision", "x.recall", "x.f1", F.col("x.score").alias("threshold"))
+
+
+def thinned_curve(df: DataFrame, points: int = 200, **kw) -> DataFrame:
+    """The curve at every n-th cut, so that about ``points`` are left, and at its last."""
+    c = curve(df, **kw)
+    n = c.count()
+    return c.where(((F.col("rn") - 1) % max(1, n // points) == 0) | (F.col("rn") == n))
+
+
+def zeroed(df: DataFrame, column: str) -> DataFrame:
+    """The table with one feature put to 0."""
+    if column not in df.columns:
+        raise ValueError(f"no column {column}")
+    return df.withColumn(column, F.lit(0.0))
+
+
+def as_benign(df: DataFrame, y: str = "y") -> DataFrame:
+    """The table as if nothing were an attack."""
+    return df.withColumn(y, F.lit(0))
+
+
+def pick(df: DataFrame, where: dict[str, str], numbers: tuple[str, ...] = ()) -> DataFrame:
+    """Rows whose columns, as text, have these values; ``numbers`` become doubles, null where they are none."""
+    for c, v in where.items():
+        df = df.where(F.col(c).cast("string") == v)
+    return df.withColumns({c: F.col(c).cast("string").try_cast("double") for c in numbers})

@@ -34,6 +34,8 @@ KINDS = ("Event", "Subject", "FileObject", "NetFlowObject")
 #: Kinds that make nodes or edges of a graph.
 GRAPH_KINDS = (*KINDS, "Unit", "Principal", "SrcSinkObject", "IpcObject")
 RECORD_TYPES = {"RECORD_EVENT": "Event", "RECORD_SUBJECT": "Subject", "RECORD_FILE_OBJECT": "FileObject", "RECORD_NET_FLOW_OBJECT": "NetFlowObject", "RECORD_UNIT": "Unit", "RECORD_PRINCIPAL": "Principal", "RECORD_SRC_SINK_OBJECT": "SrcSinkObject", "RECORD_IPC_OBJECT": "IpcObject"}
+#: Beginnings of a body's type that tell the kind where nothing else does.
+TYPE_BEGINS = (("EVENT_", "Event"), ("SUBJECT_", "Subject"), ("FILE_OBJECT", "FileObject"), ("NET_FLOW", "NetFlowObject"))
 #: Keys of one-key objects that only wrap a value (besides dotted type names).
 WRAPPERS = ("array", "map", "string", "long", "int", "bytes")
 #: Fields that may hold a lone object in place of an array of one.
@@ -412,11 +414,39 @@ def _maps(t: Tokens, objects: np.ndarray) -> pa.Array:
     return pa.MapArray.from_arrays(pa.array(off, pa.int32()), keys.take(pa.array(last)).cast(pa.string()), text.take(pa.array(there[last])).cast(pa.string()))
 
 
-def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, with_values: bool = False, wanted: tuple[str, ...] = KINDS) -> pa.RecordBatch:
-    """One row per valid record of the wanted kinds: rec_id, kind, uuid, fields, values (list), items (list)."""
+def _texts(t: Tokens, tokens: np.ndarray) -> np.ndarray:
+    """Texts of tokens (-1: none), wrappers removed."""
+    out = np.full(len(tokens), None, object)
+    has = tokens >= 0
+    out[has] = t.text(t.link[tokens[has]]).to_pylist()
+    return out
+
+
+def _first_of(t: Tokens, tokens: np.ndarray) -> np.ndarray:
+    """Texts of the first items of arrays (-1: none)."""
+    out = np.full(len(tokens), -1, np.int64)
+    has = np.flatnonzero(tokens >= 0)
+    box = t.link[tokens[has]]
+    has, box = has[t.kind[box] == _ARR], box[t.kind[box] == _ARR]
+    up, child, place = t.members(box)
+    if len(child):
+        out[has[up[place == 0]]] = child[place == 0]
+    return _texts(t, out)
+
+
+def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, with_values: bool = False, wanted: tuple[str, ...] = KINDS, part: pa.Array | None = None) -> pa.RecordBatch:
+    """One row per valid record of the wanted kinds: rec_id, kind, uuid, fields, values (list), items (list).
+
+    With ``part`` records are read as a graph's: it comes along as a column, as do ``host`` (the record's hostId, else the body's) and
+    ``name`` (the first of the body's names); a record without ``datum`` is its own body; the kind is else told by the beginning of the
+    body's type, or, where it has a subject, that of an event.
+    """
+    graph = part is not None
     there = pc.and_(pc.is_valid(rec_id), pc.is_valid(raw))
     rec_id, raw = rec_id.filter(there), raw.filter(there)
+    part = part.filter(there) if graph else None
     n = len(rec_id)
+    host = np.full(n, None, object)
     kind = np.full(n, None, object)
     parts: list[tuple] = []
     rows, texts, first = np.arange(n), raw, True
@@ -428,12 +458,14 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, wi
             obj = t.kind[cur] == _OBJ
             cur, rec = cur[obj], rec[obj]
             outer = t.lookup(cur, "type")
-            has = outer >= 0
-            word = np.full(len(cur), None, object)
-            word[has] = t.text(t.link[outer[has]]).to_pylist()
+            word = _texts(t, outer)
             named = np.array([RECORD_TYPES.get(w) for w in word], object) if len(word) else word
             kind[rec] = named
-            cur = t.lookup(cur, "datum")
+            inside = t.lookup(cur, "datum")
+            if graph:
+                host[rec] = _texts(t, t.lookup(cur, "hostId"))
+                inside = np.where(inside >= 0, inside, cur)
+            cur = inside
             rec, cur = rec[cur >= 0], cur[cur >= 0]
             first = False
         while True:  # off with the wrappers; the innermost dotted key names the kind
@@ -452,16 +484,18 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, wi
         text = np.flatnonzero(t.kind[cur] == _STR)
         rows = rec[text]
         texts = t.text(cur[text]) if len(text) else None
-    ids, kinds, uuids, roots, lists, items = [], [], [], [], [], []
+    ids, kinds, uuids, roots, lists, items, whose = [], [], [], [], [], [], []
     for t, body, rec in parts:
+        if graph:
+            no = np.flatnonzero(~np.isin(kind[rec].astype(str), GRAPH_KINDS))
+            word = _texts(t, t.lookup(body[no], "type"))
+            subject = t.lookup(body[no], "subject") >= 0
+            kind[rec[no]] = [next((k for b, k in TYPE_BEGINS if w and w.startswith(b)), "Event" if s else o) for w, s, o in zip(word, subject, kind[rec[no]], strict=True)]
         known = np.isin(kind[rec].astype(str), wanted)
         body, rec = body[known], rec[known]
         if not len(rec):
             continue
-        u = t.lookup(body, "uuid")
-        uuid = np.full(len(rec), None, object)
-        has = u >= 0
-        uuid[has] = t.text(t.link[u[has]]).to_pylist()
+        uuid = _texts(t, t.lookup(body, "uuid"))
         values: dict[str, list] | None = {k: [] for k in ("rec", "parent", "child", "pos", "text")} if with_values else None
         got = _walk(t, body, np.arange(len(rec)), values)
         if got["rec"]:
@@ -476,6 +510,9 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, wi
         off = pa.array(np.searchsorted(owner, np.arange(len(rec) + 1)).astype(np.int32), pa.int32())
         items.append(pa.ListArray.from_arrays(off, pa.StructArray.from_arrays(cols, fields=list(_empty_items(with_fields)))))
         ids.append(rec_id.take(pa.array(rec)))
+        if graph:
+            own = _texts(t, t.lookup(body, "hostId"))
+            whose.append((part.take(pa.array(rec)), [h or o for h, o in zip(host[rec], own, strict=True)], _first_of(t, t.lookup(body, "names")).tolist()))
         kinds += kind[rec].tolist()
         uuids += uuid.tolist()
         if with_fields:
@@ -487,41 +524,61 @@ def flatten_batch(rec_id: pa.Array, raw: pa.Array, with_fields: bool = False, wi
             pos = pa.array(np.concatenate([np.zeros(0, np.int64), *values["pos"]])[order], pa.int32())
             off = pa.array(np.searchsorted(owner[order], np.arange(len(rec) + 1)).astype(np.int32), pa.int32())
             lists.append(pa.ListArray.from_arrays(off, pa.StructArray.from_arrays([parent, child, pos, text], fields=list(_VALUES))))
-    schema = [("rec_id", pa.int64()), ("kind", pa.string()), ("uuid", pa.string())] + ([("fields", pa.map_(pa.string(), pa.string()))] if with_fields else []) + ([("values", pa.list_(_VALUES))] if with_values else []) + [("items", pa.list_(_empty_items(with_fields)))]
+    extra = [("part", pa.string()), ("host", pa.string()), ("name", pa.string())] if graph else []
+    schema = [("rec_id", pa.int64()), ("kind", pa.string()), ("uuid", pa.string())] + extra + ([("fields", pa.map_(pa.string(), pa.string()))] if with_fields else []) + ([("values", pa.list_(_VALUES))] if with_values else []) + [("items", pa.list_(_empty_items(with_fields)))]
 
     def joined(parts: list, kind: pa.DataType) -> pa.Array:
         return pa.concat_arrays([p.cast(kind) for p in parts]) if parts else pa.array([], kind)
 
     data = [joined(ids, pa.int64()), pa.array(kinds, pa.string()), pa.array(uuids, pa.string())]
+    if graph:
+        data += [joined([w[0] for w in whose], pa.string()), *[pa.array([x for w in whose for x in w[i]], pa.string()) for i in (1, 2)]]
     data += [joined(roots, pa.map_(pa.string(), pa.string()))] if with_fields else []
     data += [joined(lists, pa.list_(_VALUES))] if with_values else []
     return pa.RecordBatch.from_arrays([*data, joined(items, schema[-1][1])], schema=pa.schema(schema))
 
 
-def _spark_schema(with_fields: bool, with_values: bool = False) -> str:
+def _spark_schema(with_fields: bool, with_values: bool = False, graph: bool = False) -> str:
     item = "parent_path string, child_path string" + (", pos int, fields map<string,string>" if with_fields else "")
     item = ", ".join(x.replace(" ", ": ", 1) for x in item.split(", "))
-    return "rec_id bigint, kind string, uuid string, " + ("fields map<string,string>, " if with_fields else "") + ("values array<struct<parent_path: string, child_path: string, pos: int, value: string>>, " if with_values else "") + f"items array<struct<{item}>>"
+    return "rec_id bigint, kind string, uuid string, " + ("part string, host string, name string, " if graph else "") + ("fields map<string,string>, " if with_fields else "") + ("values array<struct<parent_path: string, child_path: string, pos: int, value: string>>, " if with_values else "") + f"items array<struct<{item}>>"
+
+
+#: Bytes of text whose tokens are held at once; a batch of more is cut.
+BATCH_BYTES = 16 << 20
 
 
-def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True, with_values: bool = False, kinds: tuple[str, ...] = KINDS) -> DataFrame:
+def _cuts(raw: pa.Array) -> list[tuple[int, int]]:
+    """(first, number) of rows that hold about BATCH_BYTES each; one record may be larger."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(raw), 0).to_numpy(zero_copy_only=False))
+    if not len(size) or size[-1] <= BATCH_BYTES:
+        return [(0, len(raw))]
+    at = np.unique(np.append(0, np.searchsorted(size, np.arange(BATCH_BYTES, size[-1], BATCH_BYTES), "right")))
+    return [(int(a), int(b - a)) for a, b in zip(at, np.append(at[1:], len(raw)), strict=True) if b > a]
+
+
+def flatten_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", with_fields: bool = True, with_values: bool = False, kinds: tuple[str, ...] = KINDS, part_col: str | None = None) -> DataFrame:
     """Valid records of the kinds, one row each with its items, the delivery with the smallest id of each (kind, uuid).
 
+    With ``part_col`` records are read as those of graphs (see ``flatten_batch``), and each part, say a file, keeps its own delivery.
     Identical deliveries meet in a grouped minimum with map-side combining, so a record delivered many times costs one row per task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if b.num_rows:
-                yield flatten_batch(b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string()), with_fields, with_values, kinds)
-
-    flat = df.select(F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")).where("raw IS NOT NULL").mapInArrow(run, _spark_schema(with_fields, with_values))
-    rest = [c for c in flat.columns if c not in ("rec_id", "kind", "uuid")]
+            ids, raw = b.column(0).cast(pa.int64()), b.column(1).cast(pa.large_string())
+            for first, n in _cuts(raw) if b.num_rows else ():
+                yield flatten_batch(ids.slice(first, n), raw.slice(first, n), with_fields, with_values, kinds, b.column(2).slice(first, n) if part_col else None)
+
+    cols = [F.col(id_col).cast("bigint").alias("rec_id"), F.col(raw_col).cast("string").alias("raw")] + ([F.col(part_col).cast("string").alias("part")] if part_col else [])
+    flat = df.select(cols).where("raw IS NOT NULL").mapInArrow(run, _spark_schema(with_fields, with_values, bool(part_col)))
+    by = ["kind", *(["part"] if part_col else [])]
+    rest = [c for c in flat.columns if c not in ("rec_id", "uuid", *by)]
     alone = F.when(F.col("uuid").isNull(), F.col("rec_id"))
     return (
-        flat.groupBy("kind", F.lower("uuid").alias("uuid_key"), alone.alias("alone"))
+        flat.groupBy(*by, F.lower("uuid").alias("uuid_key"), alone.alias("alone"))
         .agg(F.min_by(F.struct("rec_id", "uuid", *rest), "rec_id").alias("r"))
-        .select("r.rec_id", "kind", "r.uuid", *[f"r.{c}" for c in rest])
+        .select("r.rec_id", "kind", "r.uuid", *by[1:], *[f"r.{c}" for c in rest])
     )
 
 

@@ -21,20 +21,20 @@ def numbered(df: DataFrame, order: Sequence[Column | str], within: Sequence[str]
     order = [F.col(o) if isinstance(o, str) else o for o in order]
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     by = [*[F.col(c) for c in within], *order]
-    parts = cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_p", F.spark_partition_id()), "ordered")
-    w = W.partitionBy("_p", *within).orderBy(*order)
-    upto = w.rowsBetween(W.unboundedPreceding, 0)
-    own = parts.withColumn(name, F.row_number().over(w)).withColumns({c: F.sum(s).over(upto) for c, s in sums.items()})
-    sizes = parts.groupBy(*within, "_p").agg(F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s_{c}") for c, s in sums.items()])
+    # one shuffle: a sorted partition's rows get their places as they are written
+    parts = cut(df.repartitionByRange(n, *by).sortWithinPartitions(*by).withColumn("_m", F.monotonically_increasing_id()), "ordered").withColumn("_p", F.shiftright("_m", 33))
+    sizes = parts.groupBy(*within, "_p").agg(F.min("_m").alias("_first"), F.count(F.lit(1)).alias("_n"), *[F.sum(s).alias(f"_s_{c}") for c, s in sums.items()])
     before = W.partitionBy(*within).orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
     offset = sizes.select(
-        *[F.col(c).alias(f"_g_{c}") for c in within], F.col("_p").alias("_q"), F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums]
+        *[F.col(c).alias(f"_g_{c}") for c in within], F.col("_p").alias("_q"), "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n"), *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_s_{c}") for c in sums]
     )
+    upto = W.partitionBy("_p", *within).orderBy("_m").rowsBetween(W.unboundedPreceding, 0)
+    own = parts.withColumns({c: F.sum(s).over(upto) for c, s in sums.items()}) if sums else parts
     on = F.col("_p") == F.col("_q")
     for c in within:
         on = on & F.col(c).eqNullSafe(F.col(f"_g_{c}"))
     out = own.join(offset, on)
-    return out.select(*df.columns, (F.col(name) + F.col("_n")).alias(name), *[(F.coalesce(F.col(c), F.lit(0)) + F.col(f"_s_{c}")).alias(c) for c in sums])
+    return out.select(*df.columns, (F.col("_m") - F.col("_first") + F.col("_n") + 1).alias(name), *[(F.coalesce(F.col(c), F.lit(0)) + F.col(f"_s_{c}")).alias(c) for c in sums])
 
 
 def smallest(df: DataFrame, keys: Sequence[str], order: str, k: int, salts: int = 64) -> DataFrame:

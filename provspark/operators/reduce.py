@@ -10,7 +10,9 @@ from pyspark.sql.window import Window as W
 
 from ..functions.tables import cut
 from ..sources.views import Graph
+from .graph import degrees
 from .order import numbered
+from .skew import wide_percentiles
 
 SUMMARY = "__summary__"
 
@@ -125,10 +127,18 @@ def truncate_regions(regions: DataFrame, per_template: int, total: int) -> DataF
     return a.withColumn("_r", F.row_number().over(W.partitionBy("gid").orderBy("ridx"))).where(F.col("_r") <= total).drop("_r")
 
 
+def node_mass(r: Reduced) -> DataFrame:
+    """gid, nid, mass_in, mass_out of the reduced nodes: original edges behind their edges, by the edge map."""
+    e = r.graph.edges.join(edge_mass(r).withColumnRenamed("new_eidx", "eidx"), ["gid", "eidx"]).select("gid", "src", "dst", F.col("n_original").alias("m"))
+    ends = F.array(F.struct(F.col("dst").alias("nid"), F.col("m").alias("i"), F.lit(0).cast("bigint").alias("o")), F.struct(F.col("src").alias("nid"), F.lit(0).cast("bigint").alias("i"), F.col("m").alias("o")))
+    return e.select("gid", F.explode(ends).alias("x")).groupBy("gid", "x.nid").agg(F.sum("x.i").alias("mass_in"), F.sum("x.o").alias("mass_out"))
+
+
 def invariants(g: Graph, r: Reduced) -> DataFrame:
     """check, violations.  mass_total: sum of mu' is the number of original edges; cover: each original edge in exactly one new
-    edge; mass_edge: mu' of each new edge is its number of originals (not asked of a reduction that keeps the input's mu);
-    nodes_monotone and edges_monotone: no graph grows; endpoints: every end of a new edge is a node."""
+    edge; mass_edge: mu' of each new edge is its number of originals; external: a node that maps to itself keeps its number of
+    edges in and out, by the edge map; nodes_monotone and edges_monotone: no graph grows; endpoints: every end of a new edge is a
+    node.  Reductions that keep the input's mu meet the first and third only where that is 1."""
     n = lambda df: df.agg(F.count(F.lit(1)).alias("violations"))
     before = g.edges.groupBy("gid").agg(F.count(F.lit(1)).alias("m"))
     after = r.graph.edges.groupBy("gid").agg(F.sum("mu").alias("mu"), F.count(F.lit(1)).alias("k"))
@@ -140,7 +150,9 @@ def invariants(g: Graph, r: Reduced) -> DataFrame:
     ends = r.graph.edges.select("gid", "src", "dst").distinct()
     known = r.graph.nodes.select("gid", "nid").distinct()
     lost = ends.select("gid", F.col("src").alias("nid")).unionByName(ends.select("gid", F.col("dst").alias("nid"))).distinct().join(known, ["gid", "nid"], "left_anti")
-    parts = {"mass_total": j.where("abs(mu - m) > 1e-6"), "edges_monotone": j.where("k > m"), "nodes_monotone": nodes.where("k > m"), "cover": covered, "mass_edge": mass, "endpoints": lost}
+    own = degrees(g).select("gid", "nid", "cnt_in", "cnt_out").join(r.node_map.where("nid = new_nid").select("gid", "nid"), ["gid", "nid"], "left_semi")
+    changed = own.join(node_mass(r), ["gid", "nid"], "left").where("cnt_in <> coalesce(mass_in, 0) OR cnt_out <> coalesce(mass_out, 0)")
+    parts = {"mass_total": j.where("abs(mu - m) > 1e-6"), "edges_monotone": j.where("k > m"), "nodes_monotone": nodes.where("k > m"), "cover": covered, "mass_edge": mass, "external": changed, "endpoints": lost}
     out = None
     for k, df in parts.items():
         x = n(df).select(F.lit(k).alias("check"), "violations")
@@ -149,14 +161,13 @@ def invariants(g: Graph, r: Reduced) -> DataFrame:
 
 
 def node_map_sanity(g: Graph, r: Reduced) -> DataFrame:
-    """check, violations: every original node maps, every image exists, every new node is an image."""
+    """check, violations: every original node maps, every image exists, every new node is an image or has an edge."""
     n = lambda k, df: df.agg(F.count(F.lit(1)).alias("violations")).select(F.lit(k).alias("check"), "violations")
     total = g.nodes.select("gid", "nid").join(r.node_map, ["gid", "nid"], "left_anti")
     new = r.graph.nodes.select("gid", F.col("nid").alias("new_nid"))
     image = r.node_map.select("gid", "new_nid").distinct()
-    # the entry of a region all of whose members map to the exit (or the reverse) is reached by edges only
-    made = F.col("new_nid").rlike("^region[MN][0-9]+$")
-    return n("total", total).unionByName(n("image_exists", image.join(new, ["gid", "new_nid"], "left_anti"))).unionByName(n("reachable", new.join(image, ["gid", "new_nid"], "left_anti").where(~made)))
+    reached = image.unionByName(r.graph.edges.select("gid", F.explode(F.array("src", "dst")).alias("new_nid"))).distinct()
+    return n("total", total).unionByName(n("image_exists", image.join(new, ["gid", "new_nid"], "left_anti"))).unionByName(n("reachable", new.join(reached, ["gid", "new_nid"], "left_anti")))
 
 
 def edge_mass(r: Reduced) -> DataFrame:
@@ -177,4 +188,15 @@ def survival(g: Graph, r: Reduced) -> DataFrame:
 
 def summary_mass(r: Reduced, etype: str = SUMMARY) -> DataFrame:
     """gid, n, median_mu, max_mu of summary edges."""
-    return r.graph.edges.where(F.col("etype") == etype).groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.expr("percentile(mu, 0.5)").alias("median_mu"), F.max("mu").alias("max_mu"))
+    e = r.graph.edges.where(F.col("etype") == etype)
+    return e.groupBy("gid").agg(F.count(F.lit(1)).alias("n"), F.max("mu").alias("max_mu")).join(wide_percentiles(e, ["gid"], {"median_mu": ("mu", 0.5)}), "gid").select("gid", "n", "median_mu", "max_mu")
+
+
+def collapse_rates(g: Graph, r: Reduced) -> DataFrame:
+    """gid, share_collapsed, p_attack, covered: of the nodes that stay, the share whose edges stand for more than one edge each on
+    either side (mean mu above 1); the share of labelled ones among those; and the share of labelled nodes that are among them.
+    Null where there is nothing to divide by."""
+    d = degrees(r.graph)
+    up = lambda s: F.col(f"mu_{s}") / F.greatest(F.col(f"cnt_{s}"), F.lit(1)) > 1 + 1e-9
+    x = r.graph.nodes.join(d, ["gid", "nid"]).select("gid", F.coalesce("label", F.lit(0)).alias("y"), (up("in") | up("out")).cast("int").alias("c"))
+    return x.groupBy("gid").agg(F.avg("c").alias("share_collapsed"), F.avg(F.when(F.col("c") == 1, F.col("y"))).alias("p_attack"), F.avg(F.when(F.col("y") == 1, F.col("c"))).alias("covered"))

@@ -3,13 +3,16 @@
 Method: distributed exact selection.  Value histograms with mergeable counts are refined until ranks resolve; the rows of a hot
 key never meet in a task, only one count per (task, bucket) is shuffled.
 
-* ``heavy_keys``: the values are 64-bit key hashes and the question is which of them hold at least a share of all rows.  A
-  bucket of hash prefixes below the share can hold no such key, so at most 1/share buckets of a side live on to the next round;
-  a bucket is resolved once its smallest and largest hash agree.  A last grouped count over the resolved hashes separates keys
-  of equal hash.
-* ``exact_quantiles``: the values are numbers and the question is which has a given rank within its group.  Groups above a size
-  bound are refined by histograms between their known bounds; there are at most rows/bound of them, which bounds what is
-  broadcast.  Groups below the bound are ranked by a sorted window, which spills and holds at most the bound in a group.
+* ``select_ranks``: the values at given ranks of each group.  Each round counts the rows of the intervals that still hold a rank in
+  BUCKETS buckets, with the least and greatest value of each; running sums tell which bucket a rank falls in, and that bucket's
+  bounds are the next interval, until both are one value.
+* ``heavy_keys``: the values are key hashes, the groups are the sides, and the ranks are the multiples of the least size asked
+  for.  Equal keys stand together, so a key of that size covers at least one of these ranks, and its hash is among the at most
+  1/share values selected.  An interval with fewer rows holds no such key and is given up.  A grouped count over the selected
+  hashes separates keys of equal hash.
+* ``exact_quantiles`` and ``percentiles``: the ranks are those of the quantiles.  Groups above a size bound are refined; there are
+  at most rows/bound of them, which bounds what is broadcast.  Groups below the bound are ranked by a sorted window, which spills
+  and holds at most the bound in a group.
 * ``key_profile``: counts, distinct opposite keys, first and last known time: one grouped pass over (src, dst) pairs, which
   spreads a hot key over its partners, then a combined pass over either side.
 
@@ -30,12 +33,10 @@ from pyspark.sql.window import Window as W
 from ..functions.normal import node_key
 from ..functions.tables import cut
 
-#: Bits of hash told apart in a round of ``heavy_keys``; 2^BITS counts of each side at most leave a task.
-BITS = 16
-#: Buckets of a histogram of ``exact_quantiles``.
-BUCKETS = 1024
+#: Buckets of an interval; those of ``heavy_keys``, which has few intervals.
+BUCKETS, KEY_BUCKETS = 1024, 16_384
 #: A group with more rows than the larger of this and 1/GROUPS of all rows is refined, smaller ones are sorted.
-LIGHT, GROUPS = 4096, 20_000
+LIGHT, GROUPS = 512, 20_000
 
 
 def sides(edges: DataFrame, *cols: str) -> DataFrame:
@@ -49,29 +50,46 @@ def known_ts(c: str = "ts") -> Column:
     return F.when(F.col(c) != 0, F.col(c))
 
 
+def select_ranks(rows: DataFrame, keys: list[str], state: DataFrame, buckets: int = BUCKETS, least: int = 0) -> DataFrame:
+    """(keys, t, value): the values at the wanted ranks of each group, of those in intervals of at least ``least`` rows.
+
+    ``rows``: keys, v (bigint between -2^62 and 2^62, or double).  ``state``: keys, lo, hi (bounds of v) and want, an array of (t, r):
+    a name and a rank from 1; ranks beyond the group's size have no value.  It is broadcast.
+    """
+    exact = dict(rows.dtypes)["v"] != "double"
+    levels: list[DataFrame] = []
+    done, path = None, []
+    while True:
+        hit = state.where("lo = hi").select(*keys, F.explode("want").alias("w"), "lo").select(*keys, "w.t", F.col("lo").alias("value"))
+        done = hit if done is None else done.unionByName(hit)
+        live = state.where("lo < hi")
+        if live.isEmpty():
+            return done
+        levels.append(live)
+        at, path = rows, []
+        for i, level in enumerate(levels):
+            at = at.join(F.broadcast(level.select(*keys, *path, "lo", "hi")), [*keys, *path])
+            bucket = F.expr(f"(v - lo) div ((hi - lo) div {buckets} + 1)" if exact else f"least({buckets - 1}, floor((v / 2 - lo / 2) / (hi / 2 - lo / 2) * {buckets}))")
+            at = at.withColumn(f"_b{i}", bucket.cast("int")).drop("lo", "hi")
+            path.append(f"_b{i}")
+        hist = at.groupBy(*keys, *path).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        run = F.sum("c").over(W.partitionBy(*keys, *path[:-1]).orderBy(path[-1]))  # at most ``buckets`` rows
+        hist = hist.withColumn("before", run - F.col("c")).join(F.broadcast(live.select(*keys, *path[:-1], "want")), [*keys, *path[:-1]])
+        inside = F.filter("want", lambda w: (w.r > F.col("before")) & (w.r <= F.col("before") + F.col("c")))
+        want = F.transform(inside, lambda w: F.struct(w.t.alias("t"), (w.r - F.col("before")).alias("r")))
+        state = cut(hist.withColumn("want", want).where((F.size("want") > 0) & (F.col("c") >= least)).select(*keys, *path, "lo", "hi", "want"), "bounds")
+
+
 def heavy_keys(edges: DataFrame, share: float = 0.01) -> DataFrame:
     """(side, node_key, n_rows) of all keys that hold at least ``share`` of all rows on their side, exactly."""
-    least = max(1, ceil(Fraction(str(share)) * edges.count()))
-    rows = sides(edges).where("node_key IS NOT NULL").select("side", "node_key", F.xxhash64("node_key").alias("h"))
-    live: list[tuple[str, int]] | None = None  # (side, prefix): at most 1/share of a side
-    done: dict[str, list[int]] = {"src": [], "dst": []}
-    for used in range(0, 64, BITS):
-        prefix = F.shiftright("h", 64 - used - BITS)
-        part = rows
-        if live is not None:
-            old = F.shiftright("h", 64 - used)
-            part = rows.where(_either(live, old))
-        hist = part.groupBy("side", prefix.alias("p")).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("lo"), F.max("h").alias("hi")).where(F.col("n") >= least)
-        live = []
-        for r in hist.collect():  # at most 2/share rows
-            if r.lo == r.hi:
-                done[r.side].append(r.lo)
-            else:
-                live.append((r.side, r.p))
-        if not live:
-            break
-    hits = [(s, h) for s, hs in done.items() for h in hs]
-    found = rows.where(_either(hits, F.col("h")))
+    n = edges.count()
+    least = max(1, ceil(Fraction(str(share)) * n))
+    # 62 bits of hash, so that differences of values stay in range
+    rows = sides(edges).where("node_key IS NOT NULL").select("side", "node_key", F.shiftright(F.xxhash64("node_key"), 2).alias("v"))
+    ranks = F.transform(F.sequence(F.lit(least), F.lit(max(n, least)), F.lit(least)), lambda r: F.struct(r.alias("t"), r.cast("bigint").alias("r")))
+    state = edges.sparkSession.createDataFrame([("src", -(2**61), 2**61 - 1), ("dst", -(2**61), 2**61 - 1)], "side string, lo bigint, hi bigint").withColumn("want", ranks)
+    hits = sorted({(r.side, r.value) for r in select_ranks(rows.select("side", "v"), ["side"], state, KEY_BUCKETS, least).collect()})  # at most 1/share of a side
+    found = rows.where(_either(hits, F.col("v")))
     return found.groupBy("side", "node_key").agg(F.count(F.lit(1)).alias("n_rows")).where(F.col("n_rows") >= least)
 
 
@@ -100,38 +118,60 @@ def key_profile(edges: DataFrame, quantiles: tuple[float, ...] = ()) -> DataFram
     return out.join(wide, ["side", "node_key"], "left")
 
 
-def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], light: int = LIGHT, groups: int = GROUPS, buckets: int = BUCKETS) -> DataFrame:
-    """(keys, q, value): of each group the smallest value whose rank is at least q times the group's size (q = 0: the least).
-
-    ``value`` is an integer column; rows with a null value or key are left out.
-    """
-    rows = rows.select(*keys, F.col(value).cast("bigint").alias("v")).dropna()
+def _ranked(rows: DataFrame, keys: list[str], ranks: list[Column], light: int, groups: int, buckets: int) -> DataFrame:
+    """(keys, n, t, value): of each group the values at ``ranks``, expressions over its size n; t counts them from 0.  ``rows``: keys, v."""
+    rows = rows.dropna()
     size = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
     total = size.agg(F.sum("n")).first()[0] or 0
     bound = max(light, total // groups)
-    rank = F.greatest(F.lit(1), F.ceil(F.col("q").cast("decimal(12,9)") * F.col("n"))).cast("bigint")
-    qs = F.explode(F.array(*[F.lit(float(q)) for q in quantiles]))
     heavy = size.where(F.col("n") > bound)  # at most total/bound <= groups rows, or total/light of a small table
-    light_rows = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti") if total // bound else rows
+    some = not heavy.isEmpty()
+    light_rows = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti") if some and keys else rows.limit(0) if some else rows
     w = W.partitionBy(*keys)
     ranked = light_rows.withColumn("rn", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(w))
-    small = ranked.withColumn("q", qs).where(F.col("rn") == rank).select(*keys, "q", F.col("v").alias("value"))
-    state = cut(heavy.withColumn("q", qs).select(*keys, "q", "lo", "hi", rank.alias("rank")), "bounds")
-    resolved = []
-    while True:
-        resolved.append(state.where("lo = hi").select(*keys, "q", F.col("lo").alias("value")))
-        live = state.where("lo < hi")
-        if live.isEmpty():
-            break
-        at = rows.join(F.broadcast(live), keys).where("v BETWEEN lo AND hi")
-        bucket = F.expr(f"(v - lo) div ((hi - lo) div {buckets} + 1)")
-        hist = at.groupBy(*keys, "q", "rank", bucket.alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min("v").alias("lo2"), F.max("v").alias("hi2"))
-        run = F.sum("c").over(W.partitionBy(*keys, "q").orderBy("b"))
-        state = cut(
-            hist.withColumn("upto", run).where("upto >= rank AND upto - c < rank").select(*keys, "q", F.col("lo2").alias("lo"), F.col("hi2").alias("hi"), (F.col("rank") - F.col("upto") + F.col("c")).alias("rank")),
-            "bounds",
-        )
-    for r in resolved:
-        small = small.unionByName(r)
-    return small
+    is_one = F.lit(False)
+    for r in ranks:
+        is_one = is_one | (F.col("rn") == r)
+    want = F.array(*[F.struct(F.lit(i).alias("t"), r.cast("bigint").alias("r")) for i, r in enumerate(ranks)])
+    small = ranked.where(is_one).withColumn("w", F.explode(want)).where("w.r = rn").select(*keys, "n", "w.t", F.col("v").alias("value"))
+    if not some:
+        return small
+    one = F.lit(0).alias("_one")  # all rows as one group, where there are no keys
+    by = keys or ["_one"]
+    state = heavy.select(*(keys or [one]), "lo", "hi", want.alias("want"))
+    big = select_ranks(rows if keys else rows.select(one, "v"), by, state, buckets).join(F.broadcast(heavy.select(*(keys or [one]), "n")), by)
+    return small.unionByName(big.select(*keys, "n", "t", "value"))
+
+
+def exact_quantiles(rows: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], light: int = LIGHT, groups: int = GROUPS, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, q, value): of each group the smallest value whose rank is at least q times the group's size (q = 0: the least).
 
+    ``value`` is an integer column; rows with a null value or key are left out.
+    """
+    ranks = [F.greatest(F.lit(1), F.ceil(F.lit(str(q)).cast("decimal(12,9)") * F.col("n"))).cast("bigint") for q in quantiles]
+    got = _ranked(rows.select(*keys, F.col(value).cast("bigint").alias("v")), keys, ranks, light, groups, buckets)
+    return got.select(*keys, F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), F.col("t") + 1).alias("q"), "value")
+
+
+def percentiles(rows: DataFrame, keys: list[str], value: str, quantiles: tuple[float, ...], light: int = LIGHT, groups: int = GROUPS, buckets: int = BUCKETS) -> DataFrame:
+    """(keys, q, value): percentiles of doubles, interpolated between the two values beside the place (n - 1) q.
+
+    Rows with a null key or a value that is null, NaN or infinite are left out; a group without others has no row.
+    """
+    place = [F.lit(float(q)) * (F.col("n") - 1) for q in quantiles]
+    ranks = [f(p).cast("bigint") + 1 for p in place for f in (F.floor, F.ceil)]
+    v = F.col(value).cast("double")
+    v = F.when(v.between(-1.7976931348623157e308, 1.7976931348623157e308), v)
+    got = _ranked(rows.select(*keys, v.alias("v")), keys, ranks, light, groups, buckets)
+    q = F.element_at(F.array(*[F.lit(float(q)) for q in quantiles]), (F.shiftright("t", 1) + 1).cast("int"))
+    x = got.groupBy(*keys, q.alias("q")).agg(F.max("n").alias("n"), F.max(F.when(F.col("t") % 2 == 0, F.col("value"))).alias("a"), F.max(F.when(F.col("t") % 2 == 1, F.col("value"))).alias("b"))
+    p = F.col("q") * (F.col("n") - 1)
+    return x.select(*keys, "q", F.when(F.col("a") == F.col("b"), F.col("a")).otherwise((F.ceil(p) - p) * F.col("a") + (p - F.floor(p)) * F.col("b")).alias("value"))
+
+
+def wide_percentiles(rows: DataFrame, keys: list[str], wanted: dict[str, tuple[str, float]], **kw) -> DataFrame:
+    """keys and one column per percentile: ``wanted`` is name -> (value column, q)."""
+    cols = sorted({c for c, _ in wanted.values()})
+    long = rows.select(*keys, F.explode(F.array(*[F.struct(F.lit(c).alias("c"), F.col(c).cast("double").alias("v")) for c in cols])).alias("x")).select(*keys, F.col("x.c").alias("_c"), F.col("x.v").alias("_v"))
+    p = percentiles(long, [*keys, "_c"], "_v", tuple(sorted({q for _, q in wanted.values()})), **kw)
+    return p.groupBy(*keys).agg(*[F.max(F.when((F.col("_c") == c) & (F.col("q") == q), F.col("value"))).alias(name) for name, (c, q) in wanted.items()])

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from math import comb, erf, exp, lgamma, log, sqrt
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -84,14 +86,39 @@ def tost(d: DataFrame, delta: float) -> float:
 def bootstrap_mean(d: DataFrame, b: int = 20_000, level: float = 0.95, seed: int = 0, cluster: str | None = None) -> tuple[float, float, float]:
     """(mean, low, high): percentile interval of the mean, resampling rows, or whole clusters.
 
-    What is resampled are sums per value or cluster of a paired experiment: one row a slot.
+    A resample gives each row, or cluster, a Poisson(1) weight drawn by a seed of its own (Poisson(c) for c rows of one value), so
+    tasks add up their part of all b resamples and b sums a task come to the driver, not the rows.
     """
-    x = d.groupBy(cluster).agg(F.sum("d").alias("s"), F.count("d").alias("n")) if cluster else d.select(F.col("d").alias("s"), F.lit(1).alias("n"))
-    rows = x.where("s IS NOT NULL").collect()
-    if not rows:
+    if cluster:
+        x = d.groupBy(cluster).agg(F.sum("d").alias("s"), F.count("d").alias("n")).select(F.xxhash64(F.lit(seed), cluster).alias("h"), "s", F.col("n").cast("double").alias("n"), F.lit(1.0).alias("c"))
+    else:
+        x = d.groupBy("d").agg(F.count(F.lit(1)).cast("double").alias("c")).select(F.xxhash64(F.lit(seed), "d").alias("h"), F.col("d").alias("s"), F.lit(1.0).alias("n"), "c")
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums, sizes = np.zeros(b + 1), np.zeros(b + 1)  # the last is the sample itself
+        for batch in batches:
+            for h, s, n, c in zip(*(col.to_pylist() for col in batch.columns), strict=True):
+                w = np.append(np.random.default_rng(h & 2**63 - 1).poisson(c, b), c)
+                sums += w * s
+                sizes += w * n
+        yield pa.RecordBatch.from_arrays([pa.array([sums.tolist()], pa.list_(pa.float64())), pa.array([sizes.tolist()], pa.list_(pa.float64()))], names=["s", "n"])
+
+    parts = x.where("s IS NOT NULL AND n > 0").mapInArrow(resample, "s array<double>, n array<double>").collect()
+    s, n = (np.sum([r[k] for r in parts], axis=0) if parts else np.zeros(b + 1) for k in ("s", "n"))
+    if not n[-1]:
         return float("nan"), float("nan"), float("nan")
-    s, n = np.array([r.s for r in rows], float), np.array([r.n for r in rows], float)
-    rng = np.random.default_rng(seed)
-    means = np.concatenate([s[i].sum(1) / n[i].sum(1) for i in (rng.integers(0, len(s), (min(1000, b - k), len(s))) for k in range(0, b, 1000))])
-    lo, hi = np.quantile(means, [(1 - level) / 2, (1 + level) / 2])
-    return float(s.sum() / n.sum()), float(lo), float(hi)
+    drawn = n[:-1] > 0
+    lo, hi = np.quantile(s[:-1][drawn] / n[:-1][drawn], [(1 - level) / 2, (1 + level) / 2])
+    return float(s[-1] / n[-1]), float(lo), float(hi)
+
+
+def outer_scores(listed: DataFrame, scores: DataFrame, on: list[str], default: float = -1e9) -> DataFrame:
+    """listed with ``score``: that of the same key, ``default`` where there is none."""
+    return listed.join(scores.select(*on, "score"), on, "left").withColumn("score", F.coalesce("score", F.lit(default)))
+
+
+def full_match(a: DataFrame, b: DataFrame, on: list[str], value: str, tol: float = 1e-9) -> DataFrame:
+    """on..., old, new, status (same, changed, only_old, only_new) of all keys of either table; a null value equals a null."""
+    x = a.select(*on, F.col(value).cast("double").alias("old"), F.lit(True).alias("_a")).join(b.select(*on, F.col(value).cast("double").alias("new"), F.lit(True).alias("_b")), on, "full")
+    equal = F.coalesce(F.abs(F.col("old") - F.col("new")) <= tol, F.col("old").isNull() & F.col("new").isNull())
+    return x.select(*on, "old", "new", F.when(F.col("_b").isNull(), "only_old").when(F.col("_a").isNull(), "only_new").when(equal, "same").otherwise("changed").alias("status"))

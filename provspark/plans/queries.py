@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.tables import table
+from ..functions.tables import cut, table
 from ..operators import drift, nested, skew
 from . import graph_queries  # noqa: F401
 from .registry import ORACLES, QUERIES, query
@@ -68,10 +68,9 @@ ALERT_TABLES = ("e6_alert_full", "e6_alert_full_v2", "e6_alert_full_v3")
 
 
 def _drift(spark, d):
-    c1, f1 = drift.csv_cells(table(spark, d, "alert_lines"))
-    c2, f2 = drift.stored_cells([(t, table(spark, d, t)) for t in ALERT_TABLES], "stored alert tables")
-    cols = ["series", "file_name", "ord", "line_no", "k_config", "k_file", "field", "value", "stored"]
-    return c1.select(cols).unionByName(c2.select(cols)), f1.unionByName(f2)
+    r1, f1 = drift.csv_rows(table(spark, d, "alert_lines"))
+    r2, f2 = drift.stored_rows([(t, table(spark, d, t)) for t in ALERT_TABLES], "stored alert tables")
+    return cut(r1.unionByName(r2), "rows"), cut(f1.unionByName(f2), "fields")
 
 
 @query("p5_found")
@@ -81,5 +80,11 @@ def p5_found(spark, d):
 
 @query("p5_unified")
 def p5_unified(spark, d):
-    cells, fields = _drift(spark, d)
-    return drift.unify(cells, fields, drift.changes(cells, fields))
+    rows, fields = _drift(spark, d)
+    return drift.unify(rows, fields, drift.changes(rows, fields))
+
+
+@query("p5_table")
+def p5_table(spark, d):
+    rows, fields = _drift(spark, d)
+    return drift.unified_table(rows, fields, drift.changes(rows, fields))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import numbered
+from .lines import lines
 from .views import Graph
 
 _TSV = "src string, src_type string, dst string, dst_type string, event string, gid bigint"
@@ -20,12 +21,12 @@ _GRAPH = "gid string, nodes map<string, struct<type: string, attrs: map<string,
 
 
 def read_scenes(spark: SparkSession, path: str, gids: list[int] | None = None, split: str = "scenes", label_scene: int = 5, max_lines: int | None = None) -> Graph:
-    """Tab-separated scene files (src, src_type, dst, dst_type, event, gid); shorter rows are left out; ts is the row's place in its graph; a node's first type stays; whole graphs are labelled by scene (gid // 100) or by 125 <= gid < 150."""
+    """Tab-separated scene files, plain, gzip or the first .tsv of a tar archive (src, src_type, dst, dst_type, event, gid); shorter rows are left out; ts is the row's place in its graph; a node's first type stays; whole graphs are labelled by scene (gid // 100) or by 125 <= gid < 150."""
     if split not in ("scenes", "range"):
         raise ValueError(f"split: {split}")
-    raw = spark.read.text(path).select(F.monotonically_increasing_id().alias("pos"), F.split("value", "\t").alias("c"))
+    raw = lines(spark, path, ".tsv").select("pos", F.split("value", "\t").alias("c"))
     if max_lines is not None:
-        raw = numbered(raw, ["pos"]).where(F.col("rn") <= max_lines)
+        raw = raw.where(F.col("pos") < max_lines)
     t = raw.where(F.size("c") >= 6).select("pos", *[F.get("c", F.lit(i)).cast(x.split()[1]).alias(x.split()[0]) for i, x in enumerate(_TSV.split(", "))])
     if gids is not None:
         t = t.where(F.col("gid").isin(gids))
@@ -97,6 +98,24 @@ def write_jdbc(rows: DataFrame, url: str, name: str, batch: int = 50_000, **opti
     rows.write.format("jdbc").options(url=url, dbtable=name, batchsize=str(batch), **options).mode("append").save()
 
 
+def write_summary(rows: DataFrame, path: str) -> None:
+    """Rows as JSON lines, replacing what is there."""
+    rows.write.mode("overwrite").json(path)
+
+
+def read_scores(spark: SparkSession, path: str) -> DataFrame:
+    """nid, score, y, attacks (array of int) of stored score files (Parquet); ids as text, a missing score is -1e9, attacks may be missing."""
+    t = spark.read.parquet(path)
+    attacks = F.coalesce(F.col("attacks").cast("array<int>"), F.array().cast("array<int>")) if "attacks" in t.columns else F.array().cast("array<int>")
+    return t.select(F.col("nid").cast("string").alias("nid"), F.coalesce(F.col("score").cast("double"), F.lit(-1e9)).alias("score"), F.coalesce(F.col("y").cast("int"), F.lit(0)).alias("y"), attacks.alias("attacks"))
+
+
+def read_losses(spark: SparkSession, path: str) -> DataFrame:
+    """node, loss of CSV files with a header; other columns are not parsed, rows without a number are left out."""
+    t = spark.read.option("header", True).csv(path).select(F.col("node").cast("string").alias("node"), F.col("loss").try_cast("double").alias("loss"))
+    return t.where("node IS NOT NULL AND loss IS NOT NULL")
+
+
 class _Avro:
     """Reader of Avro object container bytes: values as JSON-able objects with union tags, fixed(16) as UUID text."""
 
@@ -210,5 +229,3 @@ def read_avro_as_json(spark: SparkSession, path: str) -> DataFrame:
     f = spark.read.format("binaryFile").load(path)
     f = numbered(f.select("path", F.regexp_extract("path", r"[^/]+$", 0).alias("name")), ["path"]).join(f.select("path", "content"), "path")
     return f.select("name", F.col("rn").cast("bigint"), "content").mapInArrow(run, "rec_id bigint, file_name string, raw string")
-
-

@@ -1,6 +1,7 @@
 """Problem 5 against a plain version."""
 
 import csv
+import random
 import re
 from collections import defaultdict
 
@@ -70,8 +71,8 @@ def test_csv(spark, sf):
     for a, b in zip(sorted(files), sorted(files)[1:], strict=False):
         if a[0] == b[0]:
             want += compare(b[2], files[a], files[b])
-    cells, fields = D.csv_cells(spark.read.parquet(f"{sf}/alert_lines.parquet"))
-    got = [tuple(r) for r in D.changes(cells, fields).select("file_name", "change", "old_field", "new_field").collect()]
+    rows, fields = D.csv_rows(spark.read.parquet(f"{sf}/alert_lines.parquet"))
+    got = [tuple(r) for r in D.changes(rows, fields).select("file_name", "change", "old_field", "new_field").collect()]
     assert len(want) > 10 and sorted(got) == sorted(want)
 
 
@@ -87,8 +88,8 @@ def test_stored(spark, sf):
                 named.setdefault((r["config"], r["file"]), {k: None if v is None else str(v).lower() if isinstance(v, bool) else str(v) for k, v in r.items()})
         ts.append((list(kinds), kinds, named))
     want = [x for i in (1, 2) for x in compare(names[i], ts[i - 1], ts[i])]
-    cells, fields = D.stored_cells([(n, spark.read.parquet(f"{sf}/{n}.parquet")) for n in names], "s")
-    got = [tuple(r) for r in D.changes(cells, fields).select("file_name", "change", "old_field", "new_field").collect()]
+    rows, fields = D.stored_rows([(n, spark.read.parquet(f"{sf}/{n}.parquet")) for n in names], "s")
+    got = [tuple(r) for r in D.changes(rows, fields).select("file_name", "change", "old_field", "new_field").collect()]
     assert sorted(got) == sorted(want) and len(want) > 5
 
 
@@ -98,15 +99,36 @@ def lines(spark, rows):
 
 def test_edges(spark):
     f = [("s", "f1", 1), ("s", "f2", 2), (None, "f3", 1), ("e", "f4", 1)]
-    rows = [(*f[0], 1, "\ufeffconfig,file,a,b,b"), (*f[0], 2, 'c,f,"x, y",1,2\r'), (*f[0], 3, ""), (*f[0], 4, None), (*f[0], 5, 'c,f,"x, y",1,2'), (*f[0], 6, "config,file,a,b,b"), (*f[0], 7, ",f,z")]
-    rows += [(*f[1], 1, "file,config,new,b"), (*f[1], 2, 'f,c,"x, y",t'), (*f[2], 1, "config,file,q"), (*f[3], None, "x"), ("e", "f5", None, 1, "x")]
-    cells, fields = D.csv_cells(lines(spark, rows))
-    ch = D.changes(cells, fields)
+    text = [(*f[0], 1, "\ufeffconfig,file,a,b,b"), (*f[0], 2, 'c,f,"x, y",1,2\r'), (*f[0], 3, ""), (*f[0], 4, None), (*f[0], 5, 'c,f,"x, y",1,2'), (*f[0], 6, "config,file,a,b,b"), (*f[0], 7, ",f,z")]
+    text += [(*f[1], 1, "file,config,new,b"), (*f[1], 2, 'f,c,"x, y",t'), (*f[2], 1, "config,file,q"), (*f[3], None, "x"), ("e", "f5", None, 1, "x")]
+    rows, fields = D.csv_rows(lines(spark, text))
+    ch = D.changes(rows, fields)
     assert sorted(tuple(r)[1:2] + tuple(r)[4:7] for r in ch.collect()) == [("f2", "renamed", "a", "new"), ("f2", "retyped", "b", "b")]
-    uni = D.unify(cells, fields, ch).where("field = 'new'").collect()
+    uni = D.unify(rows, fields, ch).where("field = 'new'").collect()
     assert sorted((r.file_name, r.line_no, r.value) for r in uni) == [("f1", 2, "x, y"), ("f1", 5, "x, y"), ("f1", 7, "z"), ("f2", 2, "x, y")]
-    cells, fields = D.csv_cells(lines(spark, []))
-    assert D.changes(cells, fields).count() == 0
+    assert {(r.file_name, r.field, r.kind) for r in D.unify(rows, fields, ch).collect()} >= {("f1", "new", "text"), ("f1", "b", "text")}
+    wide = D.unified_table(rows, fields, ch)
+    assert wide.columns == ["series", "file_name", "line_no", "b", "config", "file", "new", "q"] and dict(wide.dtypes)["new"] == "string"
+    assert sorted((r.file_name, r.line_no, r.new, r.b) for r in wide.collect()) == [("f1", 2, "x, y", "1"), ("f1", 5, "x, y", "1"), ("f1", 7, "z", None), ("f2", 2, "x, y", "t")]
+    rows, fields = D.csv_rows(lines(spark, []))
+    assert D.changes(rows, fields).count() == 0
+
+
+def test_renames_among_many_fields(spark):
+    """Fields with common values, changed values and missing rows: what the sketches leave is what counting all pairs gives."""
+    r = random.Random(4)
+    n, head = 60, [f"c{i}" for i in range(30)]
+    old = {k: {h: r.choice(["", "0", "1", "1.0", str(r.randrange(5)), str(r.random())]) for h in head} for k in range(n)}
+    new_head = [f"d{i}" for i in range(30)]
+    new = {k: {b: (v if r.random() < (0.99, 0.93, 0.9, 0.85, 0.5)[i % 5] else "7") for i, (b, v) in enumerate(zip(new_head, (old[k][h] for h in head), strict=True))} for k in range(n) if k % 9}
+    text = [("s", "f1", 1, 1, ",".join(["config", "file", *head]))] + [("s", "f1", 1, k + 2, ",".join([f"c{k}", "f", *old[k].values()])) for k in old]
+    text += [("s", "f2", 2, 1, ",".join(["config", "file", *new_head]))] + [("s", "f2", 2, k + 2, ",".join([f"c{k}", "f", *new[k].values()])) for k in new]
+    t = {c: [x[i] for x in text] for i, c in enumerate(("series", "file_name", "file_no", "line_no", "line"))}
+    files = csv_files(t)
+    a, b = (files[k] for k in sorted(files))
+    want = sorted(compare("f2", a, b))
+    got = sorted(tuple(x) for x in D.changes(*D.csv_rows(lines(spark, text))).select("file_name", "change", "old_field", "new_field").collect())
+    assert got == want and 5 < sum(x[1] == "renamed" for x in want) < 30
 
 
 def test_matching():
