@@ -122,10 +122,10 @@ def _ranked(rows: DataFrame, keys: list[str], ranks: list[Column], light: int, g
     """(keys, n, t, value): of each group the values at ``ranks``, expressions over its size n; t counts them from 0.  ``rows``: keys, v."""
     rows = rows.dropna()
     size = cut(rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")), "sizes")
-    total = size.agg(F.sum("n")).first()[0] or 0
+    total, largest = (x or 0 for x in size.agg(F.sum("n"), F.max("n")).first())
     bound = max(light, total // groups)
     heavy = size.where(F.col("n") > bound)  # at most total/bound <= groups rows, or total/light of a small table
-    some = not heavy.isEmpty()
+    some = largest > bound
     light_rows = rows.join(F.broadcast(heavy.select(*keys)), keys, "left_anti") if some and keys else rows.limit(0) if some else rows
     w = W.partitionBy(*keys)
     ranked = light_rows.withColumn("rn", F.row_number().over(w.orderBy("v"))).withColumn("n", F.count(F.lit(1)).over(w))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.normal import TYPE_NAMES
-from ..functions.tables import table
+from ..functions.tables import cut, table
 from ..operators import alerts, detect, features, graph, match, metrics, mine, reduce, stats
 from ..operators.match import Template
 from ..sources import cdm, files, views
@@ -83,9 +83,11 @@ def _(spark, d):
     return graph.drop_nodes(g, g.nodes.where("ntype = 'process'")).edges.select("gid", "eidx")
 
 
-@query("filter_time_host_head", PROV + "SELECT gid, eidx FROM pe WHERE eidx < 1000 AND ts BETWEEN 1760007200000000000 AND 1760020000000000000")
+@query("filter_time_host_head", PROV + "SELECT gid, eidx FROM pe WHERE eidx < 1000 AND ts BETWEEN 1760007200000000000 AND 1760020000000000000 AND (right(src, 1) = '' OR right(src, 1) IN ('0', '3', '7', 'a', 'd'))")
 def _(spark, d):
-    return graph.filter_edges(prov(spark, d).edges, ts_window=(1760007200000000000, 1760020000000000000), max_records=1000).select("gid", "eidx")
+    """The last character of src stands for the host."""
+    e = prov(spark, d).edges.withColumn("host", F.substring("src", -1, 1))
+    return graph.filter_edges(e, ts_window=(1760007200000000000, 1760020000000000000), hosts=["0", "3", "7", "a", "d"], max_records=1000).select("gid", "eidx")
 
 
 @query("time_split_70", PROV + """SELECT gid, eidx, CASE WHEN row_number() OVER (PARTITION BY gid ORDER BY ts, eidx) <= floor(count(*) OVER (PARTITION BY gid) * 0.7::DOUBLE + 1e-9) THEN 'train' ELSE 'test' END part FROM pe""")
@@ -131,7 +133,7 @@ def _(spark, d):
     return graph.induced_edges(g, m).select("anchor", "gid", "eidx")
 
 
-_PROC = """, pr AS (SELECT gid, nid FROM pn WHERE ntype LIKE '%process%' OR ntype LIKE '%subject%'), rf AS (SELECT e.gid, dst nid, src proc FROM pe e JOIN pr ON pr.gid = e.gid AND pr.nid = src UNION ALL SELECT e.gid, src, dst FROM pe e JOIN pr ON pr.gid = e.gid AND pr.nid = dst)"""
+_PROC = """, pr AS (SELECT gid, nid FROM pn WHERE lower(ntype) IN ('process', 'subject')), rf AS (SELECT e.gid, dst nid, src proc FROM pe e JOIN pr ON pr.gid = e.gid AND pr.nid = src UNION ALL SELECT e.gid, src, dst FROM pe e JOIN pr ON pr.gid = e.gid AND pr.nid = dst)"""
 
 
 @query("shared_objects", PROV + _PROC + " SELECT gid, nid FROM rf GROUP BY ALL HAVING count(DISTINCT proc) >= 2")
@@ -139,7 +141,10 @@ def _(spark, d):
     return graph.shared_objects(prov(spark, d), 2)
 
 
-@query("context_nodes", PROV + _PROC + " SELECT gid, nid FROM rf GROUP BY ALL HAVING count(*) >= 2")
+_SUBJ = _PROC.replace("lower(ntype) IN ('process', 'subject')", "regexp_matches(lower(ntype), 'process|subject|unit|proc|principal|task')")
+
+
+@query("context_nodes", PROV + _SUBJ + " SELECT gid, nid FROM rf GROUP BY ALL HAVING count(*) >= 2")
 def _(spark, d):
     return graph.context_nodes(prov(spark, d), 2)
 
@@ -150,11 +155,24 @@ def _(spark, d):
     return graph.process_profile(prov(spark, d))
 
 
+@query("egonet_profile", PROV + _PROC + """, u AS (SELECT gid, nid, count(DISTINCT proc) n FROM rf GROUP BY ALL), x AS (SELECT DISTINCT gid, src proc, 'o' d, dst nid FROM pe WHERE src <> dst UNION SELECT gid, dst, 'i', src FROM pe WHERE src <> dst)
+ SELECT x.gid, x.proc, pn.ntype, x.d, count(*) n, sum((u.n < 2)::INTEGER)::BIGINT n_private FROM x JOIN pr ON pr.gid = x.gid AND pr.nid = x.proc JOIN u ON u.gid = x.gid AND u.nid = x.nid JOIN pn ON pn.gid = x.gid AND pn.nid = x.nid GROUP BY ALL""")
+def _(spark, d):
+    return graph.egonet_profile(prov(spark, d))
+
+
 @query("semantic_types", PROV + "SELECT ntype, count(*) n FROM pn WHERE regexp_matches(lower(ntype), 'process|subject|unit|proc|principal|task') GROUP BY 1")
 def _(spark, d):
     return graph.semantic_types(prov(spark, d))
 
 
+@query("labels_missing", PROV + "SELECT DISTINCT pe.gid, lower(trim(uuid)) nid FROM (SELECT DISTINCT gid FROM pe) pe, gt_nodes WHERE lower(trim(uuid)) <> '' AND NOT EXISTS (SELECT 1 FROM pn WHERE pn.gid = pe.gid AND pn.nid = lower(trim(uuid)))")
+def _(spark, d):
+    g = prov(spark, d)
+    listed = g.edges.select("gid").distinct().join(F.broadcast(views.ground_truth(table(spark, d, "gt_nodes")).select("nid")))  # the labels are a parameter, a few
+    return graph.missing(listed, g.nodes)
+
+
 @query("last_neighbours", PROV + """, b AS (SELECT DISTINCT * FROM (SELECT gid, src nid, dst nbr, eidx FROM pe UNION ALL SELECT gid, dst, src, eidx FROM pe)), r AS (SELECT *, row_number() OVER (PARTITION BY gid, nid ORDER BY eidx DESC) rank FROM b) SELECT gid, nid, nbr, eidx, rank::INTEGER rank FROM r WHERE rank <= 10""")
 def _(spark, d):
     return graph.last_neighbours(prov(spark, d).edges, 10).select("gid", "nid", "nbr", "eidx", "rank")
@@ -215,8 +233,7 @@ STAR = (Template("star_fn", {"0": "process", "1": "file", "2": "netflow"}, (("0"
 _CHECKS = "SELECT c.r AS reduction, k.k AS \"check\", 0::BIGINT violations FROM (VALUES {0}) c(r), (VALUES {1}) k(k)"
 
 
-def _reductions(spark, d):
-    g = kept(prov(spark, d))
+def _reductions(g):
     r = match.find_regions(g, list(STAR))
     return g, {"identity": reduce.identity(g), "edge_dedup": reduce.edge_dedup(g), "node_merge": reduce.node_merge(g), "collapse": reduce.collapse(g, r)}
 
@@ -229,25 +246,46 @@ def _all(frames: dict[str, DataFrame]) -> DataFrame:
     return out
 
 
-@query("reduction_invariants", _CHECKS.format("('edge_dedup'), ('node_merge'), ('collapse')", "('mass_total'), ('edges_monotone'), ('nodes_monotone'), ('cover'), ('mass_edge'), ('endpoints')"))
+@query("reduction_invariants", _CHECKS.format("('identity'), ('edge_dedup'), ('node_merge'), ('collapse')", "('mass_total'), ('edges_monotone'), ('nodes_monotone'), ('cover'), ('mass_edge'), ('external'), ('endpoints')"))
 def _(spark, d):
-    g, rs = _reductions(spark, d)
-    # mu counts edges only where the input's mu is 1 or a reduction sets it
-    one = views.Graph(g.nodes, g.edges.withColumn("mu", F.lit(1.0)))
-    rs = {"edge_dedup": rs["edge_dedup"], "node_merge": reduce.node_merge(one), "collapse": rs["collapse"]}
+    """Of a graph whose every edge weighs 1, as the checks ask."""
+    g = prov(spark, d)
+    g, rs = _reductions(kept(views.Graph(g.nodes, g.edges.withColumn("mu", F.lit(1.0)))))
     return _all({k: reduce.invariants(g, r) for k, r in rs.items()})
 
 
 @query("node_map_sanity", _CHECKS.format("('identity'), ('edge_dedup'), ('node_merge'), ('collapse')", "('total'), ('image_exists'), ('reachable')"))
 def _(spark, d):
-    g, rs = _reductions(spark, d)
+    g, rs = _reductions(kept(prov(spark, d)))
     return _all({k: reduce.node_map_sanity(g, r) for k, r in rs.items()})
 
 
-@query("survival_identity", PROV + "SELECT gid, 1.0::DOUBLE survival FROM pn GROUP BY gid")
+@query("edge_mass", PROV + _DEDUP + " SELECT gid, new_eidx, mu::BIGINT n_original FROM q")
+def _(spark, d):
+    return reduce.edge_mass(reduce.edge_dedup(prov(spark, d)))
+
+
+@query("node_mass", PROV + "SELECT gid, nid, cnt_in::BIGINT mass_in, cnt_out::BIGINT mass_out FROM deg WHERE cnt_in + cnt_out > 0")
+def _(spark, d):
+    """Merging edges leaves the mass of every node as it was."""
+    return reduce.node_mass(reduce.edge_dedup(prov(spark, d)))
+
+
+@query("collapse_rates", PROV + _DEDUP + """, d2 AS (SELECT gid, nid, sum(i) ci, sum(o) co, sum(mi) mi, sum(mo) mo FROM (SELECT gid, dst nid, 1 i, 0 o, mu mi, 0 mo FROM q UNION ALL SELECT gid, src, 0, 1, 0, mu FROM q) GROUP BY ALL),
+ x AS (SELECT pn.gid, label y, (coalesce(mi / greatest(ci, 1), 0) > 1.000000001 OR coalesce(mo / greatest(co, 1), 0) > 1.000000001)::INTEGER c FROM pn LEFT JOIN d2 ON d2.gid = pn.gid AND d2.nid = pn.nid)
+ SELECT gid, round(avg(c), 6) share_collapsed, round(avg(y) FILTER (c = 1), 6) p_attack, round(avg(c) FILTER (y = 1), 6) covered FROM x GROUP BY gid""")
+def _(spark, d):
+    g = prov(spark, d)
+    return reduce.collapse_rates(g, reduce.edge_dedup(g)).select("gid", _r("share_collapsed"), _r("p_attack"), _r("covered"))
+
+
+@query("attack_survival", PROV + "SELECT gid, coalesce(avg((ntype <> 'process')::INTEGER) FILTER (label = 1), 1.0)::DOUBLE survival FROM pn GROUP BY gid")
 def _(spark, d):
+    """Of a reduction that puts all processes of a graph into one node."""
     g = prov(spark, d)
-    return reduce.survival(g, reduce.identity(g))
+    r = reduce.identity(g)
+    pi = g.nodes.select("gid", "nid", F.when(F.col("ntype") == "process", "P").otherwise(F.col("nid")).alias("new_nid"))
+    return reduce.survival(g, reduce.Reduced(r.graph, pi, r.edge_map))
 
 
 @query("template_survival")
@@ -354,23 +392,25 @@ def _(spark, d):
     return mine.fold_ceiling(kept(prov(spark, d)))
 
 
-@query("wl_colours", GEO + """, c0 AS (SELECT nid, ntype colour FROM gn), c1 AS (SELECT c.nid, md5(c.colour || '/' || array_to_string(list_concat(coalesce((SELECT list(x.colour ORDER BY x.colour) FROM ge JOIN c0 x ON x.nid = ge.dst WHERE ge.src = c.nid), []), coalesce((SELECT list(x.colour ORDER BY x.colour) FROM ge JOIN c0 x ON x.nid = ge.src WHERE ge.dst = c.nid), [])), ',')) colour FROM c0 c) SELECT nid, colour FROM c1""")
-def _(spark, d):
-    g = views.g_geo(spark, d)
-    return mine.wl_colours(g.nodes, g.edges.where("src <> dst").select("gid", "src", "dst").distinct(), 1, ("gid",)).select("nid", "colour")
+_WL = """, c{1} AS (SELECT c.nid, md5(c.colour || '/' || array_to_string(list_concat(coalesce(s.l, []), coalesce(p.l, [])), ',')) colour FROM c{0} c
+ LEFT JOIN (SELECT src nid, list(x.colour ORDER BY x.colour) l FROM ge JOIN c{0} x ON x.nid = ge.dst GROUP BY 1) s ON s.nid = c.nid LEFT JOIN (SELECT dst nid, list(x.colour ORDER BY x.colour) l FROM ge JOIN c{0} x ON x.nid = ge.src GROUP BY 1) p ON p.nid = c.nid)"""
 
 
-@query("wl_colours_3")
+@query("wl_colours", GEO + ", c0 AS (SELECT nid, ntype colour FROM gn)" + "".join(_WL.format(i, i + 1) for i in range(3)) + " SELECT nid, colour FROM c3")
 def _(spark, d):
     """The operator's three rounds, in which a colour depends on more than direct neighbours."""
     g = views.g_geo(spark, d)
     return mine.wl_colours(g.nodes, g.edges.where("src <> dst").select("gid", "src", "dst").distinct(), 3, ("gid",)).select("nid", "colour")
 
 
-@query("template_subset_coverage", "SELECT * FROM (VALUES ('a', 0, 50::BIGINT), ('b', 1, 30::BIGINT)) t(tpl_id, tpos, support)")
+@query("template_subset_coverage", PROV + """, t AS (SELECT ntype tpl_id, count(*) support, row_number() OVER (ORDER BY ntype)::INTEGER tpos FROM pn GROUP BY ntype), w AS (SELECT *, coalesce(sum(support) OVER (ORDER BY support DESC, tpos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) b, sum(support) OVER () n FROM t)
+ SELECT tpl_id, tpos, support FROM w WHERE b < 0.8 * n""")
 def _(spark, d):
-    t = spark.createDataFrame([("a", 0, 50), ("b", 1, 30), ("c", 2, 15), ("d", 3, 5)], "tpl_id string, tpos int, support bigint")
-    return mine.coverage_subset(t, 0.8)
+    """Node types stand for templates, their numbers of nodes for support."""
+    from pyspark.sql.window import Window as W
+
+    t = prov(spark, d).nodes.groupBy(F.col("ntype").alias("tpl_id")).agg(F.count(F.lit(1)).alias("support"))
+    return mine.coverage_subset(t.withColumn("tpos", F.row_number().over(W.partitionBy().orderBy("tpl_id"))), 0.8).select("tpl_id", "tpos", "support")  # one row a type
 
 
 # --- features ------------------------------------------------------------------------------------------------------------
@@ -436,11 +476,11 @@ def _(spark, d):
     return features.structural(prov(spark, d), true_diversity=True).select("gid", "nid", _r("nbr_type_div"))
 
 
-@query("mean_neighbours", PROV + """, b AS (SELECT gid, src nid, dst k FROM pe UNION ALL SELECT gid, dst, src FROM pe) SELECT b.gid, b.nid, round(avg(ln(1 + cnt_in)), 6) m FROM b JOIN deg ON deg.gid = b.gid AND deg.nid = b.k GROUP BY ALL""")
+@query("mean_neighbours", PROV + """, b AS (SELECT gid, src nid, dst k FROM pe UNION ALL SELECT gid, dst, src FROM pe) SELECT b.gid, b.nid, round(avg(ln(1 + cnt_in)), 6) m0, round(avg(ln(1 + cnt_out)), 6) m1, round(avg(ln(1 + mu_in + mu_out)), 6) m2 FROM b JOIN deg ON deg.gid = b.gid AND deg.nid = b.k GROUP BY ALL""")
 def _(spark, d):
-    g = prov(spark, d)
-    f = graph.degrees(g).select("gid", "nid", F.array(F.log1p("cnt_in")).alias("vec"))
-    return features.mean_neighbours(g, f).select("gid", "nid", F.round(F.get("vec", F.lit(0)), 6).alias("m"))
+    g = kept(prov(spark, d))
+    f = graph.degrees(g).select("gid", "nid", F.array(F.log1p("cnt_in"), F.log1p("cnt_out"), F.log1p(F.col("mu_in") + F.col("mu_out"))).alias("vec"))
+    return features.mean_neighbours(g, f).select("gid", "nid", *[F.round(F.get("vec", F.lit(i)), 6).alias(f"m{i}") for i in range(3)])
 
 
 @query("document_vectors")
@@ -464,9 +504,10 @@ def _scored(spark, d) -> DataFrame:
     return detect.score(e, detect.fit(e.where("grp < 8")))
 
 
-@query("ensemble_fit", _EMB + " SELECT r.cg grp, round(radius, 6) radius, round(c, 6) c0 FROM r JOIN c ON c.grp = r.cg AND i = 1")
+@query("ensemble_fit", _EMB + " SELECT r.cg grp, round(radius, 6) radius, (i - 1)::INTEGER i, round(c, 6) c FROM r JOIN c ON c.grp = r.cg")
 def _(spark, d):
-    return detect.fit(views.embeddings(spark, d).where("grp < 8")).experts.select("grp", _r("radius"), F.round(F.get("centroid", F.lit(0)), 6).alias("c0"))
+    x = detect.fit(views.embeddings(spark, d).where("grp < 8")).experts
+    return x.select("grp", "radius", F.posexplode("centroid").alias("i", "c")).select("grp", _r("radius"), "i", _r("c"))
 
 
 @query("ensemble_scores", _EMB + " SELECT vec_id, round(score, 6) score FROM x")
@@ -490,20 +531,14 @@ def _(spark, d):
     return detect.mahalanobis(e.where("grp < 8"), e).select("vec_id", _r("distance", 4))
 
 
-@query("leave_one_out", """WITH e AS (SELECT vec_id, label grp, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i FROM embeddings WHERE label < 3), n AS (SELECT vec_id, greatest(sqrt(sum(v * v)), 1e-12) n FROM e GROUP BY 1), u AS (SELECT e.vec_id, grp, i, v / n u FROM e JOIN n USING (vec_id)),
+@query("leave_one_out", """WITH e AS (SELECT vec_id, label grp, unnest(embedding)::DOUBLE v, generate_subscripts(embedding, 1) i FROM embeddings), n AS (SELECT vec_id, greatest(sqrt(sum(v * v)), 1e-12) n FROM e GROUP BY 1), u AS (SELECT e.vec_id, grp, i, v / n u FROM e JOIN n USING (vec_id)),
  m AS (SELECT grp, i, avg(u) m FROM u GROUP BY ALL), c AS (SELECT grp, i, m / greatest(sqrt(sum(m * m) OVER (PARTITION BY grp)), 1e-12) c FROM m), s AS (SELECT u.vec_id, u.grp, c.grp cg, sum(u * c) s FROM u JOIN c USING (i) WHERE c.grp <> u.grp GROUP BY ALL), x AS (SELECT vec_id, grp, 1 - max(s) sc FROM s GROUP BY ALL) SELECT grp, round(avg(sc), 6) mean_score FROM x GROUP BY grp""")
-def _(spark, d):
-    e = views.embeddings(spark, d).where("grp < 3")
-    out = alerts.leave_one_out([0, 1, 2], lambda gs: detect.fit(e.where(F.col("grp").isin(gs))), lambda m, g: detect.score(e.where(F.col("grp") == g), m).groupBy("grp").agg(F.round(F.avg("score"), 6).alias("mean_score")))
-    return out[0].unionByName(out[1]).unionByName(out[2])
-
-
-@query("leave_one_out_all", ORACLES["leave_one_out"].replace(" WHERE label < 3", ""))
 def _(spark, d):
     """Every group of the table is left out once; the experts of all others score it."""
     e = views.embeddings(spark, d)
     groups = [r.grp for r in e.where("grp IS NOT NULL").select("grp").distinct().orderBy("grp").collect()]  # one job each
-    out = alerts.leave_one_out(groups, lambda gs: detect.fit(e.where(F.col("grp").isin(gs))), lambda m, g: detect.score(e.where(F.col("grp") == g), m).groupBy("grp").agg(F.round(F.avg("score"), 6).alias("mean_score")))
+    experts = cut(detect.fit(e).experts, "experts")  # an expert is its own group's: the model without a group is the others
+    out = alerts.leave_one_out(groups, lambda gs: detect.Ensemble(experts.where(F.col("grp").isin(gs))), lambda m, g: detect.score(e.where(F.col("grp") == g), m).groupBy("grp").agg(F.round(F.avg("score"), 6).alias("mean_score")))
     return reduce_(DataFrame.unionByName, out.values()) if out else e.select("grp", F.lit(0.0).alias("mean_score")).limit(0)
 
 
@@ -567,6 +602,32 @@ def _(spark, d):
     return metrics.roc_auc(_m(spark, d), "stable").select(_r("auc"))
 
 
+@query("roc_auc_zero", _M + ", r AS (SELECT y, row_number() OVER (ORDER BY score, pos) - 1 rk FROM m) SELECT round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2) / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) auc FROM r")
+def _(spark, d):
+    return metrics.roc_auc(_m(spark, d), "zero").select(_r("auc"))
+
+
+@query("top_k_table", _CURVE + " SELECT k::INTEGER k, tp, round(pr, 6) \"precision\", round(re, 6) recall, round(f1, 6) f1, score threshold FROM d JOIN (SELECT x.k, least(x.k, (SELECT count(*) FROM m)) n FROM (VALUES (10), (50), (100), (500), (1000)) x(k)) ON rn = n")
+def _(spark, d):
+    return metrics.top_k_table(_m(spark, d)).select("k", "tp", _r("precision"), _r("recall"), _r("f1"), "threshold")
+
+
+@query("thinned_curve", _CURVE + " SELECT rn, round(pr, 6) \"precision\", round(re, 6) recall FROM d WHERE (rn - 1) % greatest(1, (SELECT count(*) // 100 FROM m)) = 0 OR rn = (SELECT count(*) FROM m)")
+def _(spark, d):
+    return metrics.thinned_curve(_m(spark, d), 100).select(F.col("rn").cast("bigint").alias("rn"), _r("precision"), _r("recall"))
+
+
+@query("feature_zeroed", PROV + _STRUCT + " SELECT gid, nid, round(log_deg, 6) log_deg, 0.0::DOUBLE out_in_ratio, round(nbr_type_div, 6) nbr_type_div, round(self_loop, 6) self_loop FROM s")
+def _(spark, d):
+    return metrics.zeroed(features.structural(prov(spark, d)), "out_in_ratio").select("gid", "nid", *[_r(c) for c in features.STRUCTURAL])
+
+
+@query("as_benign_confusion", _CONF + " SELECT label, 0::BIGINT tp, tp + fp fp, 0::BIGINT fn, tn + fn tn FROM p")
+def _(spark, d):
+    c = metrics.confusion(metrics.as_benign(_m(spark, d)).withColumn("pred", (F.col("score") > 0).cast("int")), ("label",))
+    return c.select("label", *[F.col(x).cast("bigint").alias(x) for x in ("tp", "fp", "fn", "tn")])
+
+
 @query("roc_auc_ties", _M + ", r AS (SELECT y, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 rk FROM m) SELECT round((sum(rk) FILTER (y = 1) - sum(y) * (sum(y) + 1) / 2)::DOUBLE / (sum(y) * (count(*) - sum(y)))::DOUBLE, 6) auc FROM r")
 def _(spark, d):
     return metrics.roc_auc(_m(spark, d), "average").select(_r("auc"))
@@ -601,12 +662,13 @@ def _node_scores(spark, d) -> tuple[views.Graph, DataFrame]:
     return g, s
 
 
-@query("alert_components", GEO + " SELECT nid, min(nid) OVER (PARTITION BY n) comp FROM (SELECT src nid, dst n FROM ge WHERE etype <> 'in' UNION ALL SELECT DISTINCT dst, dst FROM ge WHERE etype <> 'in')")
+@query("alert_components", """WITH z AS (SELECT 'n' || n_nationkey nid, n_regionkey r FROM nation UNION ALL SELECT 'r' || n_regionkey, n_regionkey FROM nation UNION ALL SELECT 'c' || c_custkey, n_regionkey FROM customer JOIN nation ON c_nationkey = n_nationkey UNION ALL SELECT 's' || s_suppkey, n_regionkey FROM supplier JOIN nation ON s_nationkey = n_nationkey)
+ SELECT DISTINCT nid, min(nid) OVER (PARTITION BY r) comp FROM z""")
 def _(spark, d):
+    """Customers and suppliers hang on nations, nations on regions: labels go over four hops."""
     g = views.g_geo(spark, d)
-    e = g.edges.where("etype <> 'in'")
-    used = e.select("gid", F.explode(F.array("src", "dst")).alias("nid")).distinct()
-    return alerts.components(e, used).select("nid", "comp")
+    used = g.edges.select("gid", F.explode(F.array("src", "dst")).alias("nid")).distinct()
+    return alerts.components(g.edges, used).select("nid", "comp")
 
 
 @query("alert_clusters")
@@ -627,12 +689,25 @@ def _(spark, d):
     return alerts.alert_metrics(alerts.clusters(s, g.edges), s)
 
 
-@query("orig_unit", PROV + """, pi AS (SELECT gid, nid, label, CASE WHEN ntype = 'process' THEN 'P' ELSE nid END new_nid FROM pn) SELECT gid, sum(label)::BIGINT n_orig, sum((label = 1 AND nid = new_nid)::INTEGER)::BIGINT n_kept, sum((label = 1 AND new_nid = 'P')::INTEGER)::BIGINT orig_covered, sum((new_nid = 'P')::INTEGER)::BIGINT "load" FROM pi GROUP BY gid""")
+@query("alert_totals")
+def _(spark, d):
+    g, s = _node_scores(spark, d)
+    return alerts.alert_totals(alerts.alert_metrics(alerts.clusters(s, g.edges), s))
+
+
+@query("alerts_uncapped")
+def _(spark, d):
+    g, s = _node_scores(spark, d)
+    return alerts.uncapped(s, g.edges).select("gid", "comp", "nid", _r("agg"))
+
+
+@query("orig_unit", PROV + """, pi AS (SELECT gid, nid, label, CASE WHEN ntype = 'process' THEN 'P' ELSE nid END new_nid FROM pn) SELECT gid, sum(label)::BIGINT n_orig, sum((label = 1 AND nid = new_nid)::INTEGER)::BIGINT n_kept, sum((label = 1 AND new_nid = 'P')::INTEGER)::BIGINT orig_covered, sum((new_nid = 'P')::INTEGER)::BIGINT "load",
+ round(CASE WHEN coalesce(sum(label), 0) = 0 OR sum((label = 1 AND new_nid = 'P')::INTEGER) = 0 THEN 0 ELSE 2 * (sum((label = 1 AND new_nid = 'P')::INTEGER) / sum(label)) / (1 + sum((label = 1 AND new_nid = 'P')::INTEGER) / sum(label)) END, 6)::DOUBLE F1_orig FROM pi GROUP BY gid""")
 def _(spark, d):
     n = prov(spark, d).nodes
     pi = n.select("gid", "nid", F.when(F.col("ntype") == "process", "P").otherwise(F.col("nid")).alias("new_nid"))
-    m = alerts.orig_metrics(n.select("gid", F.lit("P").alias("nid")).distinct(), n, pi)
-    return m.select("gid", *[F.col(c).cast("bigint").alias(c) for c in ("n_orig", "n_kept", "orig_covered", "load")])
+    m = alerts.orig_metrics(n.select("gid", F.lit("P").alias("nid"), F.lit(1).alias("rank")).distinct(), n, pi)
+    return m.select("gid", *[F.col(c).cast("bigint").alias(c) for c in ("n_orig", "n_kept", "orig_covered", "load")], _r("F1_orig"))
 
 
 @query("degree_distortion", PROV + _DEDUP + """, d2 AS (SELECT gid, nid, sum(i)::BIGINT ci, sum(o)::BIGINT co FROM (SELECT gid, dst nid, 1 i, 0 o FROM q UNION ALL SELECT gid, src, 0, 1 FROM q) GROUP BY ALL), x AS (SELECT pn.gid, greatest(abs(coalesce(deg.cnt_in, 0) - coalesce(ci, 0)), abs(coalesce(deg.cnt_out, 0) - coalesce(co, 0))) w FROM pn LEFT JOIN deg ON deg.gid = pn.gid AND deg.nid = pn.nid LEFT JOIN d2 ON d2.gid = pn.gid AND d2.nid = pn.nid WHERE label = 1)
@@ -652,21 +727,16 @@ def _(spark, d):
 
 # --- statistics over paired results --------------------------------------------------------------------------------------
 
-_PAIR = """WITH a AS (SELECT config, file, any_value(F1_alert) v FROM e6_alert_full GROUP BY ALL HAVING count(*) = 1), b AS (SELECT config, file, any_value(F1_alert) v FROM e6_alert_full_v3 GROUP BY ALL HAVING count(*) = 1), p AS (SELECT a.config, a.file, a.v a, b.v b, b.v - a.v d FROM a JOIN b ON a.config = b.config AND a.file = b.file)"""
-
-
-def _pair(spark, d) -> DataFrame:
-    one = lambda t: table(spark, d, t).groupBy("config", "file").agg(F.count(F.lit(1)).alias("n"), F.first("F1_alert").alias("v")).where("n = 1")
-    return stats.paired(one("e6_alert_full"), one("e6_alert_full_v3"), ["config", "file"], "v")
+_PAIR = """WITH a AS (SELECT config, file, avg(DISTINCT F1_alert) v FROM e6_alert_full GROUP BY ALL), b AS (SELECT config, file, avg(DISTINCT F1_alert) v FROM e6_alert_full_v3 GROUP BY ALL), p AS (SELECT a.config, a.file, a.v a, b.v b, b.v - a.v d FROM a JOIN b ON a.config = b.config AND a.file = b.file)"""
 
 
-_PAIR_ALL = _PAIR.replace("any_value(F1_alert) v", "avg(DISTINCT F1_alert) v").replace(" HAVING count(*) = 1", "")
+def _slots(spark, d, name: str) -> DataFrame:
+    """One row a slot (config, file): repeated rows count once, of differing ones the mean of the distinct values."""
+    return table(spark, d, name).groupBy("config", "file").agg(F.expr("avg(DISTINCT F1_alert)").alias("v"))
 
 
-def _pair_all(spark, d) -> DataFrame:
-    """Every slot (config, file) that both tables have: repeated rows count once, of differing ones the mean of the distinct values."""
-    one = lambda t: table(spark, d, t).groupBy("config", "file").agg(F.expr("avg(DISTINCT F1_alert)").alias("v"))
-    return stats.paired(one("e6_alert_full"), one("e6_alert_full_v3"), ["config", "file"], "v")
+def _pair(spark, d) -> DataFrame:
+    return stats.paired(_slots(spark, d, "e6_alert_full"), _slots(spark, d, "e6_alert_full_v3"), ["config", "file"], "v")
 
 
 @query("paired_diff", _PAIR + " SELECT config, file, round(d, 6) d FROM p")
@@ -674,27 +744,39 @@ def _(spark, d):
     return _pair(spark, d).select("config", "file", _r("d"))
 
 
-@query("win_tie_loss", _PAIR + " SELECT count(*) FILTER (d > 1e-12) wins, count(*) FILTER (abs(d) <= 1e-12) ties, count(*) FILTER (d < -1e-12) losses, round(avg(d), 6) mean FROM p")
+@query("win_tie_loss", _PAIR + " SELECT count(*) FILTER (d > 1e-12) wins, count(*) FILTER (abs(d) <= 1e-12) ties, count(*) FILTER (d < -1e-12) losses, round(avg(d), 6) mean, round(CASE WHEN stddev_samp(d) > 0 THEN avg(d) / stddev_samp(d) ELSE 0 END, 6) effect FROM p")
+def _(spark, d):
+    return stats.win_tie_loss(_pair(spark, d)).select("wins", "ties", "losses", _r("mean"), _r("effect"))
+
+
+@query("full_match", _PAIR + """ SELECT coalesce(a.config, b.config) config, coalesce(a.file, b.file) file, round(a.v, 6) "old", round(b.v, 6) "new", CASE WHEN b.k IS NULL THEN 'only_old' WHEN a.k IS NULL THEN 'only_new' WHEN abs(a.v - b.v) <= 1e-9 OR (a.v IS NULL AND b.v IS NULL) THEN 'same' ELSE 'changed' END status
+ FROM (SELECT *, 1 k FROM a) a FULL JOIN (SELECT *, 1 k FROM b) b ON a.config = b.config AND a.file = b.file""")
 def _(spark, d):
-    return stats.win_tie_loss(_pair(spark, d)).select("wins", "ties", "losses", _r("mean"))
+    x = stats.full_match(_slots(spark, d, "e6_alert_full"), _slots(spark, d, "e6_alert_full_v3"), ["config", "file"], "v")
+    return x.select("config", "file", _r("old"), _r("new"), "status")
 
 
-@query("paired_diff_all", _PAIR_ALL + " SELECT config, file, round(d, 6) d FROM p")
+@query("outer_scores", PROV + "SELECT pn.gid, pn.nid, coalesce(round(ln(1 + mu_in + mu_out), 6), -1e9) score FROM pn LEFT JOIN deg ON deg.gid = pn.gid AND deg.nid = pn.nid AND cnt_out > 0")
 def _(spark, d):
-    return _pair_all(spark, d).select("config", "file", _r("d"))
+    """Nodes that do something have a score; the others the default."""
+    g = kept(prov(spark, d))
+    s = graph.degrees(g).where("cnt_out > 0").select("gid", "nid", F.round(F.log1p(F.col("mu_in") + F.col("mu_out")), 6).alias("score"))
+    return stats.outer_scores(g.nodes.select("gid", "nid"), s, ["gid", "nid"])
 
 
-@query("win_tie_loss_all", _PAIR_ALL + " SELECT count(*) FILTER (d > 1e-12) wins, count(*) FILTER (abs(d) <= 1e-12) ties, count(*) FILTER (d < -1e-12) losses, round(avg(d), 6) mean FROM p")
+@query("picked_rows", """SELECT config, file, TRY_CAST(F1_alert AS DOUBLE) F1_alert, TRY_CAST(operator AS DOUBLE) operator FROM e6_alert_full WHERE is_attack::VARCHAR IN ('1', 'true')""")
 def _(spark, d):
-    return stats.win_tie_loss(_pair_all(spark, d)).select("wins", "ties", "losses", _r("mean"))
+    t = table(spark, d, "e6_alert_full")
+    yes = "true" if dict(t.dtypes)["is_attack"] == "boolean" else "1"
+    return metrics.pick(t, {"is_attack": yes}, ("F1_alert", "operator")).select("config", "file", "F1_alert", "operator")
 
 
 @query("paired_tests")
 def _(spark, d):
-    p = _pair_all(spark, d).cache()
+    p = cut(_pair(spark, d), "pairs")
     a, b, q = stats.mcnemar(p.select((F.col("a") > 0.4).cast("int").alias("x"), (F.col("b") > 0.4).cast("int").alias("y")), "x", "y")
-    mean, lo, hi = stats.bootstrap_mean(p, 2000)
-    _, clo, chi = stats.bootstrap_mean(p, 2000, 0.9, cluster="config")
+    mean, lo, hi = stats.bootstrap_mean(p, 20_000)
+    _, clo, chi = stats.bootstrap_mean(p, 10_000, 0.9, cluster="config")
     rows = [("wilcoxon", stats.wilcoxon(p)), ("tost", stats.tost(p, 0.05)), ("mcnemar", q), ("only_a", float(a)), ("only_b", float(b)), ("mean", mean), ("low", lo), ("high", hi), ("cluster_low", clo), ("cluster_high", chi)]
     return p.sparkSession.createDataFrame([(k, None if v != v else float(v)) for k, v in rows], "stat string, value double")
 
@@ -702,40 +784,122 @@ def _(spark, d):
 # --- sources -------------------------------------------------------------------------------------------------------------
 
 
-@query("cdm_nodes")
+#: DuckDB's own reading of the records: JSON functions, wrappers taken off column by column.
+_WRAP = "'array', 'map', 'string', 'long', 'int', 'bytes'"
+
+
+def _step(c):
+    k = f"json_keys({c})[1]"
+    return f"CASE WHEN json_type({c}) = 'OBJECT' AND len(json_keys({c})) = 1 AND ({k} IN ({_WRAP}) OR contains({k}, '.')) THEN json_extract({c}, '$.\"' || {k} || '\"') ELSE {c} END"
+
+
+def _unwrap(name, source, cols, keep, times=4):
+    """CTEs name1..name<times> that take the wrappers off the JSON columns."""
+    out, prev = [], source
+    for i in range(1, times + 1):
+        out.append(f"{name}{i} AS MATERIALIZED (SELECT {', '.join(keep + [f'{_step(c)} AS {c}' for c in cols])} FROM {prev})")
+        prev = f"{name}{i}"
+    return ",\n".join(out)
+
+
+_DOT = "CASE WHEN json_type(d) = 'OBJECT' AND len(json_keys(d)) = 1 AND contains(json_keys(d)[1], '.') THEN string_split(json_keys(d)[1], '.')[-1] ELSE k END"
+
+
+def _datum():
+    """Off with the datum's wrappers, and into JSON held as text; the innermost dotted key names the kind."""
+    out, prev = [], "o4"
+    for i in range(1, 7):
+        inner = f"CASE WHEN json_type(d) = 'VARCHAR' AND json_valid(d->>'$') THEN (d->>'$')::JSON ELSE {_step('d')} END"
+        out.append(f"d{i} AS MATERIALIZED (SELECT rec_id, file_name, t, h, {_DOT} AS k, {inner} AS d FROM {prev})")
+        prev = f"d{i}"
+    return ",\n".join(out)
+
+
+_FIELDS = ("uuid", "type", "subject", "predicateObject", "timestampNanos", "subjectType", "hostId", "path", "filename", "cmdLine", "localAddress", "localPort", "remoteAddress", "remotePort")
+_KIND = "CASE t->>'$' " + " ".join(f"WHEN 'RECORD_{u}' THEN '{k}'" for u, k in (("EVENT","Event"),("SUBJECT","Subject"),("FILE_OBJECT","FileObject"),("NET_FLOW_OBJECT","NetFlowObject"),("UNIT","Unit"),("PRINCIPAL","Principal"),("SRC_SINK_OBJECT","SrcSinkObject"),("IPC_OBJECT","IpcObject"))) + " END"
+_CDM = f"""WITH o0 AS MATERIALIZED (SELECT rec_id, file_name, json_extract(j, '$.type') t, json_extract(j, '$.hostId') h, json_extract(j, '$.datum') d, NULL::VARCHAR k FROM (SELECT rec_id, file_name, CASE WHEN json_valid(raw) THEN raw::JSON END j FROM tccdmdatum WHERE raw IS NOT NULL AND trim(raw) <> '') WHERE json_type(j) = 'OBJECT'),
+{_unwrap('o', 'o0', ['t', 'h'], ['rec_id', 'file_name', 'd', 'k'])},
+{_datum()},
+b0 AS MATERIALIZED (SELECT rec_id, file_name, coalesce(k, {_KIND}) kind, h->>'$' host, {', '.join(f"json_extract(d, '$.{f}') f_{f}" for f in _FIELDS)} FROM d6 WHERE json_type(d) = 'OBJECT'),
+{_unwrap('b', 'b0', [f'f_{f}' for f in _FIELDS], ['rec_id', 'file_name', 'kind', 'host'])},
+c AS MATERIALIZED (SELECT rec_id, file_name, kind, host, {', '.join(f"CASE WHEN json_type(f_{f}) IN ('OBJECT', 'ARRAY', 'NULL') THEN NULL ELSE f_{f}->>'$' END {f}" for f in _FIELDS)} FROM b4 WHERE kind IN ('Event', 'Subject', 'FileObject', 'NetFlowObject', 'Unit', 'Principal', 'SrcSinkObject', 'IpcObject')),
+r AS MATERIALIZED (SELECT * FROM c QUALIFY uuid IS NULL OR row_number() OVER (PARTITION BY kind, lower(uuid) ORDER BY rec_id) = 1)
+"""
+
+def _own(c: str) -> str:
+    return f"CASE lower(trim({c})) " + " ".join(f"WHEN '{a}' THEN '{b}'" for a, b in {**TYPE_NAMES, **cdm.OBJECT_TYPES}.items()) + f" ELSE lower(trim({c})) END"
+
+
+#: Records of hosts whose name begins with one of these, or that name no host.
+_HOSTS = "01234567"
+_EVENTS = f""", ev AS (SELECT rec_id, lower(subject) src, lower(predicateObject) dst, {_ET.replace("etype", '"type"')} etype, coalesce(try_cast(timestampNanos AS BIGINT), 0) ts, coalesce(nullif({_own("subjectType")}, ''), 'process') st FROM r WHERE kind = 'Event' AND subject <> '' AND predicateObject <> '' {{0}}),
+ df AS (SELECT lower(uuid) nid, rec_id * 3 pos, CASE WHEN kind = 'Subject' THEN 'process' ELSE coalesce(nullif({_own('"type"')}, ''), 'object') END t, kind <> 'Subject' up FROM r WHERE kind <> 'Event' AND uuid <> '' {{0}}
+        UNION ALL SELECT src, rec_id * 3 + 1, st, false FROM ev UNION ALL SELECT dst, rec_id * 3 + 2, 'object', false FROM ev)"""
+_NODES = " SELECT '{1}' gid, nid, min(pos) npos, CASE WHEN arg_min(t, pos) = 'object' THEN coalesce(arg_min(t, pos) FILTER (up AND t <> 'object'), 'object') ELSE arg_min(t, pos) END ntype, 0 AS label FROM df GROUP BY nid"
+_EDGES = " SELECT '{1}' gid, rec_id eidx, src, dst, etype, ts, 1.0::DOUBLE mu FROM ev"
+_OF_HOSTS = f"AND (host IS NULL OR host = '' OR contains('{_HOSTS}', left(host, 1)))"
+
+
+def _hosts(t: DataFrame) -> list[str]:
+    """Host names (a few hundred) that begin so."""
+    h = t.select(F.explode(F.regexp_extract_all("raw", F.lit('(?i)"hostId[\\\\"]*\\s*:[^0-9a-f]{0,80}?([0-9a-f]{8}-[0-9a-f-]{27})'), F.lit(1))).alias("h")).distinct()
+    return [r.h for r in h.collect() if r.h[0] in _HOSTS]
+
+
+@query("cdm_nodes", _CDM + (_EVENTS + _NODES).format("", "cdm"))
 def _(spark, d):
     return cdm.load(table(spark, d, "tccdmdatum")).nodes
 
 
-@query("cdm_edges")
+@query("cdm_edges", _CDM + (_EVENTS + _EDGES).format("", "cdm"))
 def _(spark, d):
     return cdm.load(table(spark, d, "tccdmdatum")).edges
 
 
-@query("store_nodes")
+@query("cdm_nodes_of_hosts", _CDM + (_EVENTS + _NODES).format(_OF_HOSTS, "cdm"))
 def _(spark, d):
-    return cdm.store(table(spark, d, "tccdmdatum"))["nodes"]
+    t = table(spark, d, "tccdmdatum")
+    return cdm.load(t, hosts=_hosts(t)).nodes
 
 
-@query("store_events")
+@query("cdm_edges_of_hosts", _CDM + (_EVENTS + _EDGES).format(_OF_HOSTS, "cdm"))
 def _(spark, d):
-    return cdm.store(table(spark, d, "tccdmdatum"))["event"]
+    t = table(spark, d, "tccdmdatum")
+    return cdm.load(t, hosts=_hosts(t)).edges
 
 
-_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
+@query("cdm_graph_sizes", _CDM.replace("PARTITION BY kind, lower(uuid)", "PARTITION BY file_name, kind, lower(uuid)") + _EVENTS.format("").replace("rec_id, lower(subject)", "file_name, rec_id, lower(subject)").replace("SELECT lower(uuid) nid", "SELECT file_name, lower(uuid) nid").replace("SELECT src, rec_id", "SELECT file_name, src, rec_id").replace("SELECT dst, rec_id", "SELECT file_name, dst, rec_id") + """ SELECT n.file_name gid, n_nodes, n_edges FROM (SELECT file_name, count(DISTINCT nid) n_nodes FROM df GROUP BY 1) n JOIN (SELECT file_name, count(*) n_edges FROM ev GROUP BY 1) e USING (file_name)""")
+def _(spark, d):
+    """One graph a file."""
+    g = cdm.load(table(spark, d, "tccdmdatum"), gid=None)
+    return graph.graph_stats(g).select("gid", "n_nodes", "n_edges")
+
+
+_STORE = """, n AS (SELECT lower(uuid) node_uuid, kind, sha256(lower(uuid)) hash_id, row_number() OVER (ORDER BY CASE kind WHEN 'NetFlowObject' THEN 0 WHEN 'Subject' THEN 1 ELSE 2 END, rec_id) - 1 index_id FROM r WHERE uuid IS NOT NULL AND kind IN ('Subject', 'FileObject', 'NetFlowObject'))"""
 
 
-@query("scan_files", f"""WITH i AS (SELECT file_name, unnest(regexp_extract_all(lower(raw), '{_UUID}')) nid FROM tccdmdatum), h AS (SELECT file_name, count(DISTINCT nid) n_hits FROM i WHERE nid IN (SELECT DISTINCT lower(trim(src)) FROM edges WHERE eidx < 100 AND src IS NOT NULL) GROUP BY 1)
- SELECT f.file_name, n_records, coalesce(n_hits, 0) n_hits FROM (SELECT file_name, count(raw) n_records FROM tccdmdatum GROUP BY 1) f LEFT JOIN h USING (file_name)""")
+@query("store_nodes", _CDM + _STORE + " SELECT node_uuid, kind, hash_id, index_id FROM n")
 def _(spark, d):
-    gt = table(spark, d, "edges").where("eidx < 100").select(F.lower(F.trim("src")).alias("nid")).dropna().distinct()
-    return files.scan(table(spark, d, "tccdmdatum"), gt).select("file_name", "n_records", "n_hits")
+    return cdm.store(table(spark, d, "tccdmdatum"))["nodes"]
+
+
+@query("store_events", _CDM + _STORE + f""", e AS (SELECT lower(uuid) event_uuid, "type" operation, lower(subject) s, lower(predicateObject) o, try_cast(timestampNanos AS BIGINT) "timestamp", "type" IN ({', '.join(f"'{x}'" for x in cdm.READ_LIKE)}) b FROM r WHERE kind = 'Event' AND uuid IS NOT NULL AND "type" NOT IN ({', '.join(f"'{x}'" for x in cdm.LEFT_OUT)})),
+ ob AS (SELECT node_uuid, arg_min((hash_id, index_id), CASE kind WHEN 'FileObject' THEN 0 WHEN 'NetFlowObject' THEN 1 ELSE 2 END) x FROM n GROUP BY 1)
+ SELECT CASE WHEN b THEN ob.x[1] ELSE n.hash_id END src_hash, CASE WHEN b THEN ob.x[2] ELSE n.index_id END src_index, operation, CASE WHEN b THEN n.hash_id ELSE ob.x[1] END dst_hash, CASE WHEN b THEN n.index_id ELSE ob.x[2] END dst_index, event_uuid, "timestamp"
+ FROM e JOIN n ON n.node_uuid = s AND n.kind = 'Subject' JOIN ob ON ob.node_uuid = o WHERE "timestamp" IS NOT NULL""")
+def _(spark, d):
+    return cdm.store(table(spark, d, "tccdmdatum"))["event"]
+
+
+_UUID = "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"
 
 
-@query("scan_labelled", ORACLES["scan_files"].replace("SELECT DISTINCT lower(trim(src)) FROM edges WHERE eidx < 100 AND src IS NOT NULL", "SELECT DISTINCT lower(trim(uuid)) FROM gt_nodes WHERE uuid IS NOT NULL"))
+@query("scan_files", f"""WITH i AS (SELECT file_name, unnest(regexp_extract_all(lower(raw), '{_UUID}')) nid FROM tccdmdatum), h AS (SELECT file_name, count(DISTINCT nid) n_hits FROM i WHERE nid IN (SELECT lower(trim(uuid)) FROM gt_nodes) GROUP BY 1),
+ t AS (SELECT file_name, count(raw) n_records, min(x) ts_lo, max(x) ts_hi FROM (SELECT file_name, raw, try_cast(nullif(regexp_extract(raw, '"timestampNanos[\\\\"]*:\\s*(?:\\{{[\\\\"]*long[\\\\"]*:\\s*)?(\\d+)', 1), '') AS BIGINT) x FROM tccdmdatum) GROUP BY 1)
+ SELECT t.file_name, n_records, ts_lo, ts_hi, coalesce(n_hits, 0) n_hits FROM t LEFT JOIN h USING (file_name)""")
 def _(spark, d):
-    """The labelled nodes that the records of each file name."""
-    return files.scan(table(spark, d, "tccdmdatum"), views.ground_truth(table(spark, d, "gt_nodes"))).select("file_name", "n_records", "n_hits")
+    """Records, times and labelled nodes of each file."""
+    return files.scan(table(spark, d, "tccdmdatum"), views.ground_truth(table(spark, d, "gt_nodes"))).select("file_name", "n_records", "ts_lo", "ts_hi", "n_hits")
 
 
 @query("max_loss", "SELECT vec_id node, max(v) loss FROM (SELECT vec_id, unnest(embedding)::DOUBLE v FROM embeddings) GROUP BY 1")
@@ -750,7 +914,6 @@ def _(spark, d):
 @query("flagship")
 def _(spark, d):
     """Day graphs -> merged edges -> rate-ratio features -> ensemble of even days -> scores of odd days -> top 20 nodes a day."""
-    from ..functions.tables import cut
     from ..operators.order import numbered
 
     g = views.g_events(spark, d)
@@ -762,3 +925,12 @@ def _(spark, d):
     s = detect.score(f.where(~even), m)
     top = numbered(s.select("gid", "nid", "npos", "score"), [F.desc("score"), "npos"], ["gid"]).where("rn <= 20")
     return top.select("gid", F.col("rn").cast("int").alias("rank"), "nid", _r("score"))
+
+
+@query("pipeline_alerts")
+def _(spark, d):
+    """Templates of the benign graphs -> collapse -> features -> detector -> ranked alerts, of the audit graphs."""
+    from .. import pipeline
+
+    r = pipeline.run(prov(spark, d), pipeline.Options(operator="template", encoding="rate_ratio", min_support=3, context_k=2))
+    return r.alerts.select("gid", "rank", "seed_nid", "nid", _r("agg"))

@@ -16,6 +16,9 @@ def spark():
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "6g")
+        # tables are tiny here: compiling code for each of the many small plans would take most of the time
+        .config("spark.sql.codegen.wholeStage", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
     s.sparkContext.setLogLevel("ERROR")
