@@ -182,7 +182,7 @@ def first_embeddings(g: Graph, templates: list[Template]) -> DataFrame:
     stuck = cut(start.select("gid", "tpos", "seed", "npos").join(out, ["gid", "tpos", "seed"], "left_anti"), "stuck")
     for i in sorted(x.tpos for x in stuck.select("tpos").distinct().collect()):
         if len(steps[i]) > 1:  # a single step takes what there is
-            few = cut(smallest(fit, ["gid", "a", "kind"], "b", len(used[i].nodes)), "few")
+            few = lists.select("gid", "a", "kind", F.explode("l").alias("b"))
             out = out.unionByName(_enumerated(used[i], i, stuck.where(F.col("tpos") == i), links, fit, few, kinds))
     tpl = roots.select("tpos", "tpl_id", F.col("ntype").alias("anchor_type"))
     return out.join(F.broadcast(tpl), "tpos").select("gid", "tpos", "tpl_id", "anchor_type", "seed", "npos", "nodes")

@@ -27,14 +27,27 @@ def rand(spark, seed, n=18, m=40, types=("process", "file", "net")):
     return nodes, edges, make(spark, nodes, edges)
 
 
+def several(spark, seeds, *args):
+    """Random graphs as one set of graphs: plain ones by gid, and all as frames."""
+    plain, ns, es = {}, [], []
+    for seed in seeds:
+        r = random.Random(seed)
+        n, m, types = (*args, 18, 40)[:2] + (("process", "file", "net"),)
+        nodes = [(f"n{i:02d}", r.choice(types), int(r.random() < 0.15)) for i in range(n)]
+        edges = [(r.choice(nodes)[0], r.choice(nodes)[0], r.choice("rw")) for _ in range(m)]
+        plain[f"g{seed}"] = nodes, edges
+        ns += [(f"g{seed}", x, i, t, lab) for i, (x, t, lab) in enumerate(nodes)]
+        es += [(f"g{seed}", i, a, b, e, i + 1, 1.0) for i, (a, b, e) in enumerate(edges)]
+    return plain, Graph(spark.createDataFrame(ns, N), spark.createDataFrame(es, E))
+
+
 def zero(df):
     bad = [tuple(r) for r in df.collect() if r.violations]
     assert not bad, bad
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_invariants(spark, seed):
-    _, _, g = rand(spark, seed)
+def test_invariants(spark):
+    _, g = several(spark, range(3))
     for r in (reduce.identity(g), reduce.edge_dedup(g), reduce.node_merge(g)):
         zero(reduce.invariants(g, r))
         zero(reduce.node_map_sanity(g, r))
@@ -90,14 +103,28 @@ T = [
 ]
 
 
-@pytest.mark.parametrize("seed", range(4))
-def test_first_embeddings(spark, seed):
-    nodes, edges, g = rand(spark, seed, 16, 60)
+MORE = [
+    *T,
+    Template("both", {"0": "process", "1": "file", "2": "file", "3": "file", "4": "net"}, (("0", "1"), ("2", "0"), ("0", "3"), ("4", "0")), "0"),  # leaves of one type on either side
+    Template("deep", {"0": "process", "1": "file", "2": "process", "3": "net", "4": "file"}, (("0", "1"), ("2", "1"), ("2", "3"), ("2", "4")), "0"),
+    Template("ring", {"0": "process", "1": "file", "2": "process", "3": "file"}, (("0", "1"), ("2", "1"), ("2", "3"), ("0", "3")), "0"),
+    Template("tail", {"a": "net", "b": "process", "c": "file", "d": "file", "e": "process"}, (("b", "a"), ("b", "c"), ("b", "d"), ("e", "d"), ("a", "e"))),
+    Template("loose", {"0": "process", "1": "file"}, (), "0"),
+]
+
+
+def test_first_embeddings(spark):
+    plain, g = several(spark, range(6), 16, 110)
     got = defaultdict(dict)
-    for r in match.first_embeddings(g, T).collect():
-        got[r.tpl_id][r.seed] = r.nodes
-    for t in T:
-        assert got[t.tpl_id] == first_match(nodes, edges, t)
+    for r in match.first_embeddings(g, MORE).collect():
+        got[r.gid, r.tpl_id][r.seed] = r.nodes
+    found = 0
+    for gid, (nodes, edges) in plain.items():
+        for t in MORE[:-1]:
+            want = first_match(nodes, edges, t)
+            assert got[gid, t.tpl_id] == want, (gid, t)
+            found += len(want)
+    assert found > 60 and {k[1] for k in got} == {t.tpl_id for t in MORE[:-1]}
 
 
 def sequential(nodes, edges, templates, share_k, min_absorb, max_instances, max_total):
@@ -126,15 +153,17 @@ def sequential(nodes, edges, templates, share_k, min_absorb, max_instances, max_
     return out
 
 
-@pytest.mark.parametrize("seed,share,caps", [(0, -1, (100, 1000)), (1, 2, (100, 1000)), (2, -1, (2, 3)), (3, 3, (1, 1000)), (4, -1, (1, 1000))])
-def test_regions(spark, monkeypatch, seed, share, caps):
-    if seed % 2 == 0:
+@pytest.mark.parametrize("share,caps,rounds", [(-1, (100, 1000), True), (2, (100, 1000), False), (-1, (2, 3), True), (3, (1, 1000), False)])
+def test_regions(spark, monkeypatch, share, caps, rounds):
+    if rounds:
         monkeypatch.setattr(match, "SMALL", 0)
-    nodes, edges, g = rand(spark, seed, 40, 80)
-    want = sequential(nodes, edges, T, share, 2, *caps)
+    plain, g = several(spark, range(3), 40, 80)
     regions = match.find_regions(g, T, share, 2, *caps)
-    got = [(r.tpl_id, r.seed, r.absorb) for r in regions.orderBy("ridx").collect()]
-    assert got == want and (want or share == 2)
+    rows = regions.orderBy("ridx").collect()
+    for gid, (nodes, edges) in plain.items():
+        want = sequential(nodes, edges, T, share, 2, *caps)
+        assert [(r.tpl_id, r.seed, r.absorb) for r in rows if r.gid == gid] == want
+    assert rows or share == 2
     r = reduce.collapse(g, regions)
     zero(reduce.invariants(g, r))
     zero(reduce.node_map_sanity(g, r))
