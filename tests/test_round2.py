@@ -142,7 +142,7 @@ def test_fold_counts_and_variants(spark):
     assert [tuple(x) for x in mine.absorb_conflicts(g).collect()] == [("w", 1, 9, 0)]
     assert [tuple(x) for x in mine.absorb_conflicts(small(spark), 1).collect()] == [("g", 1, 3, 1)]
     p = {(r.proc, r.ntype, r.d): (r.n, r.n_private) for r in graph.egonet_profile(g).collect()}
-    assert p["p0", "socket", "o"] == (3, 3) and p["p0", "file", "o"] == (1, 0) and p["P", "process", "o"] == (8, 0)
+    assert p["p0", "socket", "o"] == (3, 3) and p["p0", "file", "o"] == (1, 0) and p["P", "process", "o"] == (8, 8)
     lost = graph.missing(spark.createDataFrame([("w", "p0"), ("w", "nope"), ("w", "nope")], "gid string, nid string"), g.nodes)
     assert [tuple(r) for r in lost.collect()] == [("w", "nope")]
 
